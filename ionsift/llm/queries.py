@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionsift.llm import chat, pii, url_filter
+from ionsift.llm import chat, pii, substring_dedup, suffix_dedup, url_filter
 from ionsift.llm.common import table
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False)
+    return done.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False)
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("pii_base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
@@ -35,6 +45,31 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ win AS (SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d)),
+ low AS (SELECT g, min(doc_id) AS lo FROM win GROUP BY g HAVING min(doc_id) < max(doc_id)),
+ gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN low USING (g) WHERE doc_id > lo)),
+ words AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM d),
+ kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+ win AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM d)),
+ low AS (SELECT g, min(doc_id) AS lo FROM win GROUP BY g HAVING min(doc_id) < max(doc_id)),
+ hit AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM win JOIN low USING (g) WHERE doc_id > lo),
+ run AS (SELECT doc_id, i, sum(CASE WHEN step <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM hit),
+ span AS (SELECT doc_id, r, min(i) AS b, max(i) + 50 AS e FROM run GROUP BY doc_id, r),
+ gap AS (SELECT doc_id, b, e, lead(b) OVER (PARTITION BY doc_id ORDER BY b) AS nxt, row_number() OVER (PARTITION BY doc_id ORDER BY b) AS k FROM span),
+ kept AS (SELECT gap.doc_id, count(*) AS n_spans, sum(e - b) AS gone,
+    substr(first(h), 1, 2 * min(b)) || string_agg(substr(h, 2 * e + 1, 2 * (coalesce(nxt, n) - e)), '' ORDER BY b) AS t FROM gap JOIN d USING (doc_id) GROUP BY gap.doc_id)
+SELECT d.doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(t, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 OP8_SQL = r"""
 WITH p AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
  q AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -61,8 +96,10 @@ FROM e GROUP BY conv_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_substring": op3_substring,
     "op6_pii": op6_pii,
     "op8_url_filter": op8_url_filter,
     "op9_chat": op9_chat,
+    "op10_suffix": op10_suffix,
 }
-ORACLE_SQL: dict[str, str] = {"op8_url_filter": OP8_SQL, "op9_chat": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_substring": OP3_SQL, "op10_suffix": OP10_SQL, "op8_url_filter": OP8_SQL, "op9_chat": OP9_SQL}
