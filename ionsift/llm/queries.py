@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionsift.llm import bpe, chat, pii, substring_dedup, suffix_dedup, url_filter
+from ionsift.llm import bpe, chat, pii, substring_dedup, suffix_dedup, toxicity, url_filter
 from ionsift.llm.common import table
 
 
@@ -21,6 +21,11 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.classify(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -104,6 +109,7 @@ FROM e GROUP BY conv_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring": op3_substring,
+    "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
     "op6_pii": op6_pii,
     "op8_url_filter": op8_url_filter,
