@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionsift.llm import bpe, chat, pii, substring_dedup, suffix_dedup, toxicity, url_filter
+from ionsift.llm import bpe, chat, embedding_dedup, pii, substring_dedup, suffix_dedup, toxicity, url_filter
 from ionsift.llm.common import table
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 0.95)
+
+
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False)
     return done.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -108,6 +112,7 @@ FROM e GROUP BY conv_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_embeddings": op2_embeddings,
     "op3_substring": op3_substring,
     "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
