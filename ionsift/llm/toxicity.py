@@ -156,14 +156,22 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def sample(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> tuple[list[bytes], list[bytes]]:
-    """A bounded sample of labelled texts that are not held out, by hash of the id: ``how.toxic`` and ``how.ordinary`` rows."""
-    marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").where(~held_out() & (F.length("text") <= how.longest)).join(marked, "doc_id")
-    out = []
+    """A bounded sample of labelled texts that are not held out: up to ``how.toxic`` and ``how.ordinary`` of them, by hash of the id.
+
+    Twice as many ids are drawn from the labels first, since some texts may be missing or too long; that list, bounded by
+    the same parameters, is what is broadcast to the documents, so no text is shuffled.
+    """
+    spark = docs.sparkSession
+    marked = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    drawn = []
     for label, n in ((1, how.toxic), (0, how.ordinary)):
-        got = rows.where(F.col("toxic") == label).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(n)
-        out.append([r.text.encode() for r in got.select("text").collect()])
-    return out[0], out[1]
+        drawn += marked.where(F.col("toxic") == label).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(2 * n).select("doc_id", "toxic", "h").collect()
+    few = spark.createDataFrame([tuple(r) for r in drawn], "doc_id long, toxic int, h long")
+    got = docs.select("doc_id", "text").where(F.length("text") <= how.longest).join(F.broadcast(few), "doc_id").collect()
+    by_id = {r.doc_id: r for r in got}
+    rows = sorted(by_id.values(), key=lambda r: (r.h, r.doc_id))
+    toxic, ordinary = ([r.text.encode() for r in rows if r.toxic == label][:n] for label, n in ((1, how.toxic), (0, how.ordinary)))
+    return toxic, ordinary
 
 
 def _score_rows(sent):
