@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionsift.llm import bpe, chat, embedding_dedup, pii, substring_dedup, suffix_dedup, toxicity, url_filter
+from ionsift.llm import bpe, chat, embedding_dedup, ngram_join, pii, substring_dedup, suffix_dedup, toxicity, url_filter
 from ionsift.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.as_text(F.col("pii_base")), 256).alias("base_sha256"), pii.as_text(F.col("pii_spans")).alias("spans"))
 
 
+def op7_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(table(spark, sf_dir, "documents").select("doc_id", "text"), 85, 4)
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -86,6 +90,17 @@ SELECT d.doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, c
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+OP7_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 3], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM d WHERE len(ws) > 0)),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+ l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+ r AS (SELECT doc_id AS id, doc_id AS root FROM d UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.id = d.doc_id GROUP BY d.doc_id
+"""
+
 OP8_SQL = r"""
 WITH p AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
  q AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -117,8 +132,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
     "op6_pii": op6_pii,
+    "op7_ngram": op7_ngram,
     "op8_url_filter": op8_url_filter,
     "op9_chat": op9_chat,
     "op10_suffix": op10_suffix,
 }
-ORACLE_SQL: dict[str, str] = {"op3_substring": OP3_SQL, "op10_suffix": OP10_SQL, "op8_url_filter": OP8_SQL, "op9_chat": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_substring": OP3_SQL, "op7_ngram": OP7_SQL, "op10_suffix": OP10_SQL, "op8_url_filter": OP8_SQL, "op9_chat": OP9_SQL}
