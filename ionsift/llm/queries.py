@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionsift.llm import bpe, chat, embedding_dedup, ngram_join, pii, substring_dedup, suffix_dedup, toxicity, url_filter
+from ionsift.llm import bpe, chat, decontaminate, embedding_dedup, ngram_join, pii, substring_dedup, suffix_dedup, toxicity, url_filter
 from ionsift.llm.common import table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item that leaks into it."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 0.95)
 
@@ -127,6 +132,7 @@ FROM e GROUP BY conv_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_embeddings": op2_embeddings,
     "op3_substring": op3_substring,
     "op4_toxicity": op4_toxicity,
