@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 
 
+#: Whether Spark deletes a query's shuffle files when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -32,16 +36,20 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    This cuts lineage with files that outlive an executor, and lets Spark's cleaner drop the shuffle
-    files behind ``df``. The table goes when the application ends.
+    This cuts lineage with files that outlive an executor, and Spark drops the write's shuffle files as soon as it
+    has ended. The table goes when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ionsift-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     jvm = spark.sparkContext._jvm
     jpath = jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

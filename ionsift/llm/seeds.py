@@ -127,14 +127,19 @@ def chunks(bounds: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def anchors(units: np.ndarray, gram: int, size: int) -> tuple[Prefix, np.ndarray, np.ndarray]:
+    """Prefix hashes, gram hashes, and for each window the place of its anchor."""
+    prefix = Prefix(units)
+    grams = mix(prefix.grams(gram))
+    return prefix, grams, (sliding_min((grams & ~PLACE) | np.arange(len(grams), dtype=U), size - gram + 1) & PLACE).astype(np.int64)
+
+
 def segments(units: np.ndarray, docs: np.ndarray, gram: int, size: int) -> tuple[np.ndarray, ...]:
     """(document index, first window, number of windows, anchor hash, segment hash) of all segments; windows count within all units."""
     none = np.zeros(0, np.int64)
     if len(units) < size:
         return none, none, none, none.astype(U), none.astype(U)
-    prefix = Prefix(units)
-    grams = mix(prefix.grams(gram))
-    at = (sliding_min((grams & ~PLACE) | np.arange(len(grams), dtype=U), size - gram + 1) & PLACE).astype(np.int64)
+    prefix, grams, at = anchors(units, gram, size)
     n = len(at)
     valid = np.ones(n + 1, bool)
     valid[n] = False
@@ -157,7 +162,8 @@ def sorted_groups(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-SEED = "key long, seg long, doc long, start int, n int, settled boolean"
+#: ``at`` packs first window (from bit 32), number of windows (from bit 1) and whether the row is settled (bit 0).
+SEED = "key long, seg long, doc long, at long"
 FOUND = "doc long, start int, n int, key long, contested boolean"
 
 
@@ -191,7 +197,8 @@ def seed_rows(unit: str, gram: int, size: int):
             doc, first, key, whole, settled = (x[begin] for x in (doc, first, key, whole, settled))
             key = np.where(settled, mix(doc.astype(U) * U(BASE1) + first.astype(U)), key)
             whole = np.where(settled, U(0), whole)
-            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(doc), pa.array(first.astype(np.int32)), pa.array(total.astype(np.int32)), pa.array(settled)], names=["key", "seg", "doc", "start", "n", "settled"])
+            at = (first << 32) | (total << 1) | settled
+            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(doc), pa.array(at)], names=["key", "seg", "doc", "at"])
 
     return run
 
@@ -208,10 +215,11 @@ def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch([pa.array(doc), pa.array(start), pa.array(n), pa.array(key), pa.array(contested)], names=["doc", "start", "n", "key", "contested"])
 
     for batch in batches:
-        key, seg, doc, start, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "seg", "doc", "start", "n"))
-        done = batch.column("settled").to_numpy(zero_copy_only=False)
+        key, seg, doc, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "seg", "doc", "at"))
+        done, start, n = (at & 1).astype(bool), (at >> 32).astype(np.int32), ((at >> 1) & 0x7FFFFFFF).astype(np.int32)
         if done.any():
-            yield out(doc[done], start[done], n[done], key[done], np.zeros(int(done.sum()), bool))
+            none = np.zeros(int(done.sum()), np.int64)
+            yield out(doc[done], start[done], n[done], none, none.astype(bool))
             key, seg, doc, start, n = (x[~done] for x in (key, seg, doc, start, n))
         if not len(key):
             continue
@@ -235,7 +243,7 @@ def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contested = firsts & many[key_of]
         keep = ~firsts | contested
         if keep.any():
-            yield out(doc[keep], start[keep], n[keep], key[keep], contested[keep])
+            yield out(doc[keep], start[keep], n[keep], np.where(contested, key, 0)[keep], contested[keep])
         if not many[-1]:
             tail = firsts & (key_of == key_of[-1])
             held.append(tuple(x[tail] for x in (doc, start, n, key)))

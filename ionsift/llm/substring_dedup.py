@@ -40,11 +40,15 @@ def _window_rows(size: int):
     return run
 
 
+def _windows(docs: DataFrame, found: DataFrame, size: int) -> DataFrame:
+    near = seeds.with_stretches(docs.select("doc_id", "text"), found.where("contested"), "inner").select("doc_id", "text", "at")
+    return near.mapInArrow(_window_rows(size), "h1 long, h2 long, doc long, start int")
+
+
 def repeats(docs: DataFrame, gram: int = GRAM, size: int = SIZE) -> DataFrame:
     """``doc, start, n``: windows ``start .. start + n - 1`` (of ``size`` words each) that also start in a smaller doc_id."""
     found = seeds.seek(docs, "word", gram, size)
-    near = seeds.with_stretches(docs.select("doc_id", "text"), found.where("contested"), "inner").select("doc_id", "text", "at")
-    windows = materialize(near.mapInArrow(_window_rows(size), "h1 long, h2 long, doc long, start int"), "windows")
+    windows = materialize(_windows(docs, found, size), "windows")
     low = windows.groupBy("h1", "h2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
     extended = windows.join(low, ["h1", "h2"]).where("doc > low").select("doc", "start", F.lit(1).alias("n"))
     return found.where("not contested").select("doc", "start", "n").unionAll(extended)

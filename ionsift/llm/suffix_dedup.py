@@ -123,24 +123,42 @@ def shared_windows(data: np.ndarray, bounds: np.ndarray, doc: np.ndarray, size:
     return at[keep], own[keep]
 
 
-def _contested_rows(size: int):
-    """mapInArrow: documents beside their contested segments -> the segments' bytes."""
+def _contested_rows(gram: int, size: int):
+    """mapInArrow: documents beside their contested segments -> the bytes of the segments' windows, dealt out more finely.
+
+    A window reaches at least half of ``size - gram`` bytes beyond its anchor on one side. So each segment gives up
+    to two rows, keyed by the anchor with that many bytes before it or after it, with the windows that hold them.
+    """
+    half = (size - gram) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = seeds.texts(batch.column("text"))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             cut, rows = seeds.lists(batch.column("at"))
-            start, n, key = (rows.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n", "key"))
-            d = np.repeat(np.arange(len(ids)), np.diff(cut))
-            begin = bounds[d] + start
-            raw = data.tobytes()
-            for i in range(0, len(start), 1 << 16):
-                s = slice(i, i + (1 << 16))
-                yield pa.record_batch(
-                    [pa.array(key[s]), pa.array(ids[d[s]]), pa.array(start[s].astype(np.int32)), pa.array([raw[b : b + k + size - 1] for b, k in zip(begin[s].tolist(), n[s].tolist())], pa.binary())],
-                    names=["key", "doc", "start", "bytes"],
-                )
+            start, n = (rows.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n"))
+            for i, j in seeds.chunks(bounds):
+                s, k = start[cut[i] : cut[j]], n[cut[i] : cut[j]]
+                if not len(s):
+                    continue
+                part = data[bounds[i] : bounds[j]]
+                own = np.repeat(np.arange(i, j), np.diff(cut[i : j + 1]))
+                offset = bounds[own] - bounds[i]
+                first = s + offset
+                prefix, _, place = seeds.anchors(seeds.BYTE_HASH[part], gram, size)
+                anchor = place[first]
+                raw = part.tobytes()
+                # windows that start at anchor - half or before reach that far back; the others reach far ahead
+                back = np.clip(anchor - half - first + 1, 0, k)
+                for side, b, count in ((0, first, back), (1, first + back, k - back)):
+                    has = np.flatnonzero(count > 0)
+                    a = anchor[has]
+                    key = seeds.mix(prefix.of(a - half, a + gram) if side == 0 else prefix.of(a, a + gram + half) + np.uint64(1)).view(np.int64)
+                    begin, stop = b[has], b[has] + count[has] + size - 1
+                    yield pa.record_batch(
+                        [pa.array(key), pa.array(ids[own[has]]), pa.array((begin - offset[has]).astype(np.int32)), pa.array([raw[x:y] for x, y in zip(begin.tolist(), stop.tolist())], pa.binary())],
+                        names=["key", "doc", "start", "bytes"],
+                    )
 
     return run
 
@@ -152,6 +170,11 @@ def _sort_rows(size: int, most: int):
     """mapInArrow over segments sorted by key: suffix sort of whole anchors; windows of an anchor that is too large go on by hash (n = 0)."""
 
     def settle(key, doc, start, values) -> Iterator[pa.RecordBatch]:
+        new = seeds.sorted_groups(key)
+        many = np.flatnonzero(~(new & np.r_[new[1:], True]))  # a key of one row shares nothing
+        if not len(many):
+            return
+        key, doc, start, values = key[many], doc[many], start[many], values.take(pa.array(many))
         data, bounds = seeds.texts(values)
         at, own = shared_windows(data, bounds, doc, size)
         if len(at):
@@ -206,13 +229,17 @@ def _sort_rows(size: int, most: int):
     return run
 
 
+def _sorted(docs: DataFrame, found: DataFrame, gram: int, size: int, most: int) -> DataFrame:
+    near = seeds.with_stretches(docs.select("doc_id", "text"), found.where("contested"), "inner").select("doc_id", "text", "at")
+    stretches = near.mapInArrow(_contested_rows(gram, size), "key long, doc long, start int, bytes binary")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stretches.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_sort_rows(size, most), SORTED)
+
+
 def repeats(docs: DataFrame, gram: int = GRAM, size: int = SIZE, most: int = ROWS) -> DataFrame:
     """``doc, start, n``: places ``start .. start + n - 1`` whose ``size`` bytes also start in a smaller doc_id."""
     found = seeds.seek(docs, "byte", gram, size)
-    near = seeds.with_stretches(docs.select("doc_id", "text"), found.where("contested"), "inner").select("doc_id", "text", "at")
-    stretches = near.mapInArrow(_contested_rows(size), "key long, doc long, start int, bytes binary")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = materialize(stretches.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_sort_rows(size, most), SORTED), "suffixes")
+    sorted_ = materialize(_sorted(docs, found, gram, size, most), "suffixes")
     rest = sorted_.where("n = 0")
     low = rest.groupBy("h1", "h2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
     hashed = rest.join(low, ["h1", "h2"]).where("doc > low").select("doc", "start", F.lit(1).alias("n"))
