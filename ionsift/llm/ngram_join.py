@@ -124,23 +124,84 @@ class CountTree:
         return np.concatenate(out_q), np.concatenate(out_p)
 
 
+def _fits(over: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """100 * over >= percent * union, by sizes."""
+    return (100 + percent) * over >= percent * (a + b)
+
+
+def _small_buckets(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs within runs of equal keys."""
+    begin = np.flatnonzero(seeds.sorted_groups(key))
+    size = np.diff(np.r_[begin, len(key)])
+    left = np.repeat(begin + size, size) - np.arange(len(key)) - 1  # rows of the bucket after this one
+    q = np.repeat(np.arange(len(key)), left)
+    p = np.arange(len(q)) - np.repeat(np.cumsum(left) - left, left) + q + 1
+    return q, p
+
+
 def _tree_rows(percent: int):
-    """mapInArrow over rows sorted by bucket: candidate pairs across components, one block pair of a bucket at a time."""
+    """mapInArrow over rows sorted by bucket: candidate pairs across components, one block pair of a large bucket at a time.
+
+    A row is ``a, b, slack, needed``: a pair that meets under one shingle, how much of their overlap may lie beyond the
+    prefixes, and the overlap that it needs. Buckets of up to a leaf's size are compared many at once, without a tree.
+    """
 
-    def pairs(table: pa.Table) -> pa.RecordBatch | None:
-        doc, n, comp, block = (table.column(c).to_numpy() for c in ("doc", "n", "comp", "block"))
-        if comp.min() == comp.max():
+    def out(rows: dict, q: np.ndarray, p: np.ndarray) -> pa.RecordBatch | None:
+        doc, n, comp = rows["doc"], rows["n"], rows["comp"]
+        keep = (comp[q] != comp[p]) & (doc[q] != doc[p]) & (rows["class"][q] == np.minimum(rows["own"][q], rows["own"][p]))
+        keep &= (rows["i"][q] == rows["j"][q]) | (rows["block"][q] != rows["block"][p])
+        q, p = q[keep], p[keep]
+        if not len(q):
             return None
-        counts = table.column("counts").combine_chunks().flatten().to_numpy().reshape(-1, GROUPS).astype(np.int64)
-        n = n.astype(np.int64)
-        q, p = CountTree(counts, n).search(counts, n, percent)
-        split = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        keep = (doc[q] < doc[p]) & (comp[q] != comp[p]) & ((block[q] != block[p]) | (not split))
-        return pa.record_batch([pa.array(doc[q[keep]]), pa.array(doc[p[keep]])], names=["a", "b"]) if keep.any() else None
+        swap = doc[q] > doc[p]
+        q, p = np.where(swap, p, q), np.where(swap, q, p)
+        high = rows["high"].view(np.uint64)
+        end = np.where(high[q] <= high[p], q, p)  # whose prefix ends first
+        needed = -(-percent * (n[q] + n[p]) // (100 + percent))
+        return pa.record_batch([pa.array(doc[q]), pa.array(doc[p]), pa.array((n - rows["np"])[end].astype(np.int32)), pa.array(needed.astype(np.int32))], names=["a", "b", "slack", "needed"])
+
+    def columns(table: pa.Table) -> dict:
+        rows = {c: table.column(c).to_numpy() for c in ("doc", "comp", "high", "class", "own", "block", "i", "j")}
+        rows |= {c: table.column(c).to_numpy().astype(np.int64) for c in ("n", "np")}
+        rows["counts"] = table.column("counts").combine_chunks().flatten().to_numpy().reshape(-1, GROUPS)
+        return rows
+
+    def small(held: list[pa.RecordBatch], sizes: list[int]) -> Iterator[pa.RecordBatch]:
+        rows = columns(pa.Table.from_batches(held))
+        q, p = _small_buckets(np.repeat(np.arange(len(sizes)), sizes))
+        keep = rows["comp"][q] != rows["comp"][p]
+        q, p = q[keep], p[keep]
+        for c in range(0, len(q), 1 << 16):
+            x, y = q[c : c + (1 << 16)], p[c : c + (1 << 16)]
+            fits = _fits(np.minimum(rows["counts"][x], rows["counts"][y]).sum(1, dtype=np.int64), rows["n"][x], rows["n"][y], percent)
+            if (made := out(rows, x[fits], y[fits])) is not None:
+                yield made
+
+    def large(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = columns(pa.Table.from_batches(held))
+        q, p = CountTree(rows["counts"].astype(np.int64), rows["n"]).search(rows["counts"].astype(np.int64), rows["n"], percent)
+        if (made := out(rows, q[q < p], p[q < p])) is not None:
+            yield made
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: list[pa.RecordBatch] = []  # of the open bucket
+        few: list[pa.RecordBatch] = []  # closed small buckets
+        sizes: list[int] = []
         last = None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            n = sum(x.num_rows for x in held)
+            if 1 < n <= LEAF:
+                few.extend(held)
+                sizes.append(n)
+            elif n > LEAF:
+                yield from large(held)
+            held.clear()
+            if sum(sizes) > 1 << 15:
+                yield from small(few, sizes)
+                few.clear()
+                sizes.clear()
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -149,21 +210,36 @@ def _tree_rows(percent: int):
             for b, e in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows]):
                 key = tuple(keys[:, b])
                 if held and key != last:
-                    table = pa.Table.from_batches(held)
-                    if table.num_rows > 1 and (out := pairs(table)) is not None:
-                        yield out
-                    held.clear()
+                    yield from close()
                 held.append(batch.slice(b, e - b))
                 last = key
-        if held and sum(x.num_rows for x in held) > 1 and (out := pairs(pa.Table.from_batches(held))) is not None:
-            yield out
+        yield from close()
+        if sizes:
+            yield from small(few, sizes)
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``a, b`` whose sets reach the threshold, as ``u, v``."""
-    left = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a")
+def _verified(docs: DataFrame, summary: DataFrame, pairs: DataFrame, percent: int, k: int) -> DataFrame:
+    """Those of ``a, b`` whose sets reach the threshold, as ``u, v``.
+
+    Prefixes and count vectors bound the overlap first; only documents in pairs that pass have their sets made. Of the
+    document whose prefix ends first no shingle beyond it can be shared below that, so the overlap is at most the
+    prefixes' own plus what that document has left.
+    """
+    known = summary.select("doc", "n", "prefix", "counts").dropDuplicates(["doc"])
+    side = lambda x: known.select(*[F.col(c).alias(f"{c}_{x}" if c != "doc" else x) for c in ("doc", "n", "prefix", "counts")])
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    needed = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}")
+    # prefixes ascend as unsigned numbers; flipping the top bit orders them as signed ones
+    last = lambda x: F.element_at(f"prefix_{x}", -1).bitwiseXOR(F.lit(-(2**63)))
+    slack = F.when(last("a") <= last("b"), F.col("n_a") - F.size("prefix_a")).otherwise(F.col("n_b") - F.size("prefix_b"))
+    by_prefix = F.size(F.array_intersect("prefix_a", "prefix_b")) + slack >= needed
+    by_counts = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x) >= needed
+    near = materialize(both.where(by_counts & by_prefix).select("a", "b"), "near")
+    some = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = materialize(docs.join(some, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_set_rows(k), "doc long, shingles array<long>"), "sets")
+    left = near.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
     over = F.size(F.array_intersect("x", "y"))
     return both.where(F.lit(100) * over >= F.lit(percent) * (F.size("x") + F.size("y") - over)).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -197,9 +273,6 @@ def link(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, text: str =
     tokens = materialize(reps.select("doc", F.explode("prefix").alias("token")), "tokens")
     several = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
     shared = materialize(tokens.join(several, "token").select("token", "doc"), "shared")
-    some = shared.select("doc").distinct()
-    sets = materialize(docs.join(some.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_set_rows(k), "doc long, shingles array<long>"), "sets")
-
     def with_components(links: DataFrame) -> DataFrame:
         comp = components(links).withColumnRenamed("id", "doc")
         return shared.join(comp, "doc", "left").select("token", "doc", F.coalesce("component_id", "doc").alias("comp"))
@@ -207,23 +280,25 @@ def link(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, text: str =
     links = spark.createDataFrame([], "u long, v long")
     rows = shared.withColumn("comp", F.col("doc"))
     for turn in range(STARS):
-        links = links.unionAll(materialize(_verified(_best_centres(rows, turn), sets, percent), "links"))
+        links = links.unionAll(materialize(_verified(docs, summary, _best_centres(rows, turn), percent, k), "links"))
         rows = with_components(links)
 
     # trees over what is left: shingles shared across components, by size class, in blocks
     rows = materialize(rows, "rows")
     open_ = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-    sized = rows.join(open_, "token").join(summary.select("doc", "n", "counts").dropDuplicates(["doc"]), "doc")
+    facts = summary.select("doc", "n", "counts", F.size("prefix").alias("np"), F.element_at("prefix", -1).alias("high")).where("n > 0").dropDuplicates(["doc"])
     size_class = F.floor(F.log("n") / float(-np.log(percent / 100)) + 1e-9).cast("int")
     # a smaller document of the pair stands in its own class, a larger one in its own and the one below
-    sized = sized.withColumn("own", size_class).withColumn("class", F.explode(F.array(F.col("own"), F.col("own") - 1)))
-    counted = sized.groupBy("token", "class").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    met = sized.join(counted, ["token", "class"]).withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int"))
+    classed = rows.join(open_, "token").join(facts.select("doc", size_class.alias("own")), "doc").withColumn("class", F.explode(F.array(F.col("own"), F.col("own") - 1)))
+    counted = classed.groupBy("token", "class").agg(F.count(F.lit(1)).alias("many"), F.min("comp").alias("low"), F.max("comp").alias("top")).where("low < top").select("token", "class", "many")
+    met = classed.join(counted, ["token", "class"]).withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int"))
     met = met.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("token", "class", "doc", "n", "comp", "counts", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
-    met = met.repartition(n, "token", "class", "i", "j").sortWithinPartitions("token", "class", "i", "j")
-    pairs = materialize(met.mapInArrow(_tree_rows(percent), "a long, b long").distinct(), "pairs")
-    links = links.unionAll(materialize(_verified(pairs, sets, percent), "links"))
+    met = met.select("token", "class", "own", "doc", "comp", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+    met = met.join(facts, "doc").repartition(n, "token", "class", "i", "j").sortWithinPartitions("token", "class", "i", "j")
+    found = met.mapInArrow(_tree_rows(percent), "a long, b long, slack int, needed int")
+    pairs = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("slack").alias("slack"), F.first("needed").alias("needed")).where("c + slack >= needed")
+    pairs = materialize(pairs.select("a", "b"), "pairs")
+    links = links.unionAll(materialize(_verified(docs, summary, pairs, percent, k), "links"))
     comp = components(links).withColumnRenamed("id", "rep")
     per_class = classes.join(comp, "rep", "left").select("n", "s1", "s2", F.coalesce("component_id", "rep").alias("component_id"))
     out = known.select("doc", "n", "s1", "s2").join(per_class, ["n", "s1", "s2"]).select("doc", "n", "component_id")
