@@ -28,8 +28,8 @@ U = np.uint64
 class Walks:
     """With the defaults an item of 30 words with three words changed is found with probability over 0.95 (measured)."""
 
-    tables: int = 5
-    sampled: int = 5
+    tables: int = 4
+    sampled: int = 2  # steps of a walk's first part, and of each longer one beyond that
     steps: tuple[int, ...] = (16, 8, 4, 2, 1)  # an item takes the longest that it has words for
     stride: int = 4  # words between an item's indexed starts
     edits: float = 0.2  # allowed word edits as a share of the item's words
@@ -42,29 +42,40 @@ def _words(text: str) -> np.ndarray:
     return seeds.word_units(data, np.array([0, len(data)]))[0]
 
 
-def _samples(how: Walks) -> list[dict[int, list[int]]]:
-    """For each table and length of walk the sampled steps."""
+def _samples(how: Walks) -> list[set[int]]:
+    """For each table the sampled steps. A longer walk's key goes on from a shorter one's, so they share their steps."""
     r = np.random.default_rng(how.seed)
-    return [{t: sorted(r.choice(t, min(t, how.sampled), replace=False).tolist()) for t in how.steps} for _ in range(how.tables)]
+    out = []
+    for _ in range(how.tables):
+        low, steps = 0, set()
+        for high in sorted(how.steps):
+            steps |= set((low + r.choice(high - low, min(high - low, how.sampled if high > 4 else 1), replace=False)).tolist())
+            low = high
+        out.append(steps)
+    return out
 
 
 def walk_keys(words: np.ndarray, how: Walks, used: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray]]:
     """(length of walk, key of each start) for all tables; the walks run over all words in a row."""
     n, longest = len(words), max(used)
     padded = np.concatenate([words, np.zeros(longest, U)])
+    now, bit, ones = np.empty(n, U), np.empty(n, np.uint16), np.uint16(1)
     for table, steps in enumerate(_samples(how)):
-        bits = seeds.mix(padded ^ U(0x51ED270B0A1F39C1 * (table + 1) % (1 << 64)))
+        bits = seeds.mix(padded ^ U(0x51ED270B0A1F39C1 * (table + 1) % (1 << 64))).astype(np.uint16)
         at = np.arange(n)
-        keys = {t: np.full(n, U(1000 * table + t)) for t in used}
+        keys = np.full(n, U(table + 1))
         for j in range(longest):
-            hit = [t for t in used if j in steps[t]]
-            if hit:
-                now = padded[at]
-                for t in hit:
-                    keys[t] = (keys[t] ^ now) * U(seeds.BASE1) + (keys[t] >> U(29))
-            at = at + ((bits[at] >> U(j)) & U(1)).astype(np.int64)
-        for t in used:
-            yield t, seeds.mix(keys[t])
+            if j in steps:
+                np.take(padded, at, out=now, mode="clip")
+                keys ^= now
+                keys *= U(seeds.BASE1)
+                keys ^= keys >> U(32)
+            if j + 1 in used:
+                yield j + 1, keys * U(seeds.BASE2)
+            np.take(bits, at, out=bit, mode="clip")
+            np.right_shift(bit, np.uint16(j), out=bit)
+            np.bitwise_and(bit, ones, out=bit)
+            at += bit
 
 
 @dataclass
