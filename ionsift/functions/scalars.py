@@ -27,8 +27,17 @@ def im_to_scan(im: Column, c: Calibration) -> Column:
 _GAMMA, _M1, _M2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
+def _let(x: Column, f) -> Column:
+    """f(x) with x evaluated once, however often f uses it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def _times(x: Column, k: int) -> Column:
     """x * k modulo 2**64 on bigints, by 16-bit limbs so that nothing overflows."""
+    return _let(x, lambda v: _product(v, k))
+
+
+def _product(x: Column, k: int) -> Column:
     a = [F.shiftrightunsigned(x, 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
     b = [(k >> 16 * i) & 0xFFFF for i in range(4)]
     parts, carry = [], F.lit(0)
@@ -46,9 +55,9 @@ def _times(x: Column, k: int) -> Column:
 
 def splitmix64(x: Column) -> Column:
     """The SplitMix64 finaliser on a bigint taken as unsigned."""
-    x = _times(x.bitwiseXOR(F.shiftrightunsigned(x, 30)), _M1)
-    x = _times(x.bitwiseXOR(F.shiftrightunsigned(x, 27)), _M2)
-    return x.bitwiseXOR(F.shiftrightunsigned(x, 31))
+    x = _times(_let(x, lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, 30))), _M1)
+    x = _times(_let(x, lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, 27))), _M2)
+    return _let(x, lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, 31)))
 
 
 def frame_sample(frames: DataFrame, fraction: float, seed: int) -> DataFrame:
