@@ -22,7 +22,7 @@ from ionsift.llm import seeds
 from ionsift.llm.common import components, materialize
 
 SHINGLE, GROUPS, PERCENT = 4, 64, 85
-LEAF, BLOCK, STARS = 32, 1024, 2
+LEAF, BLOCK, STARS = 32, 1024, 3
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -220,15 +220,14 @@ def _tree_rows(percent: int):
     return run
 
 
-def _verified(docs: DataFrame, summary: DataFrame, pairs: DataFrame, percent: int, k: int) -> DataFrame:
+def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int, k: int) -> DataFrame:
     """Those of ``a, b`` whose sets reach the threshold, as ``u, v``.
 
     Prefixes and count vectors bound the overlap first; only documents in pairs that pass have their sets made. Of the
     document whose prefix ends first no shingle beyond it can be shared below that, so the overlap is at most the
     prefixes' own plus what that document has left.
     """
-    known = summary.select("doc", "n", "prefix", "counts").dropDuplicates(["doc"])
-    side = lambda x: known.select(*[F.col(c).alias(f"{c}_{x}" if c != "doc" else x) for c in ("doc", "n", "prefix", "counts")])
+    side = lambda x: reps.select(*[F.col(c).alias(f"{c}_{x}" if c != "doc" else x) for c in ("doc", "n", "prefix", "counts")])
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     needed = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}")
     # prefixes ascend as unsigned numbers; flipping the top bit orders them as signed ones
@@ -267,7 +266,8 @@ def link(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, text: str =
     summary = materialize(docs.mapInArrow(_summary_rows(k, percent), "doc long, n int, s1 long, s2 long, prefix array<long>, counts array<int>"), "summary")
     known = summary.where("doc is not null and n > 0")
     classes = materialize(known.groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep")), "classes")
-    reps = known.join(classes.select(F.col("rep").alias("doc")), "doc", "left_semi").dropDuplicates(["doc"])
+    reps = known.join(classes.select(F.col("rep").alias("doc")), "doc", "left_semi").groupBy("doc").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "counts")])
+    reps = materialize(reps, "reps")
 
     # prefix shingles that two classes share
     tokens = materialize(reps.select("doc", F.explode("prefix").alias("token")), "tokens")
@@ -280,13 +280,13 @@ def link(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, text: str =
     links = spark.createDataFrame([], "u long, v long")
     rows = shared.withColumn("comp", F.col("doc"))
     for turn in range(STARS):
-        links = links.unionAll(materialize(_verified(docs, summary, _best_centres(rows, turn), percent, k), "links"))
+        links = links.unionAll(materialize(_verified(docs, reps, _best_centres(rows, turn), percent, k), "links"))
         rows = with_components(links)
 
     # trees over what is left: shingles shared across components, by size class, in blocks
     rows = materialize(rows, "rows")
     open_ = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-    facts = summary.select("doc", "n", "counts", F.size("prefix").alias("np"), F.element_at("prefix", -1).alias("high")).where("n > 0").dropDuplicates(["doc"])
+    facts = reps.select("doc", "n", "counts", F.size("prefix").alias("np"), F.element_at("prefix", -1).alias("high"))
     size_class = F.floor(F.log("n") / float(-np.log(percent / 100)) + 1e-9).cast("int")
     # a smaller document of the pair stands in its own class, a larger one in its own and the one below
     classed = rows.join(open_, "token").join(facts.select("doc", size_class.alias("own")), "doc").withColumn("class", F.explode(F.array(F.col("own"), F.col("own") - 1)))
@@ -298,7 +298,7 @@ def link(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, text: str =
     found = met.mapInArrow(_tree_rows(percent), "a long, b long, slack int, needed int")
     pairs = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("slack").alias("slack"), F.first("needed").alias("needed")).where("c + slack >= needed")
     pairs = materialize(pairs.select("a", "b"), "pairs")
-    links = links.unionAll(materialize(_verified(docs, summary, pairs, percent, k), "links"))
+    links = links.unionAll(materialize(_verified(docs, reps, pairs, percent, k), "links"))
     comp = components(links).withColumnRenamed("id", "rep")
     per_class = classes.join(comp, "rep", "left").select("n", "s1", "s2", F.coalesce("component_id", "rep").alias("component_id"))
     out = known.select("doc", "n", "s1", "s2").join(per_class, ["n", "s1", "s2"]).select("doc", "n", "component_id")
