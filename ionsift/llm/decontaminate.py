@@ -88,6 +88,7 @@ class Index:
     keys: dict[int, np.ndarray]
     of: dict[int, np.ndarray]
     offset: dict[int, np.ndarray]
+    distinct: list[set[int]]  # words of each item
 
 
 def build_index(items: list[tuple[int, str]], how: Walks) -> Index | None:
@@ -108,7 +109,7 @@ def build_index(items: list[tuple[int, str]], how: Walks) -> Index | None:
         keys[t] = key[order]
         of[t] = np.concatenate([np.full(len(p[0]), p[1]) for p in parts])[order]
         offset[t] = np.concatenate([p[2] for p in parts])[order]
-    return Index([w for _, w in words], [i for i, _ in words], tuple(sorted(rows, reverse=True)), keys, of, offset)
+    return Index([w for _, w in words], [i for i, _ in words], tuple(sorted(rows, reverse=True)), keys, of, offset, [set(w.tolist()) for _, w in words])
 
 
 def least_edits(item: np.ndarray, text: np.ndarray) -> int:
@@ -166,6 +167,9 @@ def _find_rows(sent, how: Walks):
                             if have == 0:
                                 continue
                             window = words[max(docs[d], p - o - 2 * most) : min(docs[d + 1], p - o + len(item) + 2 * most)]
+                            # an edit takes at most one of the item's distinct words away
+                            if len(index.distinct[k].difference(window.tolist())) > most:
+                                continue
                             n = least_edits(item, window)
                             if n <= most and (have is None or n < have):
                                 found[i + d, k] = n
