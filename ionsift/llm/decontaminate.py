@@ -1,10 +1,12 @@
-"""Benchmark decontamination: CGK random walks embed word sequences so that edit distance becomes Hamming distance; bit sampling
-over repeated walks finds windows near a benchmark item; word edit distance then decides.
-
-A walk reads a window from its start: at step j it emits the word under its pointer and moves on if that word's j-th
-random bit is 1. A table samples some steps of its walk as a key. Every word of every document starts a window, and an
-item is indexed from several of its words, so an edit spoils only the walks that pass it. A candidate is checked over
-the item-sized window around it, with as many words on either side as edits are allowed.
+"""Benchmark decontamination: CGK random walks over short stretches of words find places near a benchmark item; word edit distance
+then decides.
+
+``e`` edits leave at least one stretch of ``m // (e + 1)`` of an item's ``m`` words as it was. So a walk stays within a
+stretch of that many words: at step j it emits the word under its pointer and moves on if that word's j-th random bit is 1,
+up to the stretch's last word. Every word of every document starts a walk, and so does every word of an item that has a
+whole stretch after it; thus each stretch of a document within the allowed edits shares a key with its item, whatever the
+item's length and wherever the edits stand. A candidate is checked over the item-sized window around it, with as many words
+on either side as edits are allowed.
 """
 
 from __future__ import annotations
@@ -22,60 +24,51 @@ from ionsift.llm import seeds
 from ionsift.llm.ngram_join import LOWER
 
 U = np.uint64
+SLICE = 1 << 20
 
 
 @dataclass(frozen=True)
 class Walks:
-    """With the defaults an item of 30 words with three words changed is found with probability over 0.95 (measured)."""
+    """Every leak is found: the walks' lengths follow from ``edits``."""
 
-    tables: int = 4
-    sampled: int = 2  # steps of a walk's first part, and of each longer one beyond that
-    steps: tuple[int, ...] = (16, 8, 4, 2, 1)  # an item takes the longest that it has words for
-    stride: int = 4  # words between an item's indexed starts
+    steps: int = 3  # steps of a walk for each word of its stretch
     edits: float = 0.2  # allowed word edits as a share of the item's words
     seed: int = 23
     block: int = 20_000  # items broadcast at once
 
+    def most(self, n: int) -> int:
+        """Allowed edits of an item of n words."""
+        return int(self.edits * n + 1e-9)
+
+    def stretch(self, n: int) -> int:
+        """Words in a row that the allowed edits leave somewhere in an item of n words."""
+        return n // (self.most(n) + 1)
+
 
 def _words(text: str) -> np.ndarray:
     data = LOWER[np.frombuffer(text.encode(), np.uint8)]
     return seeds.word_units(data, np.array([0, len(data)]))[0]
 
 
-def _samples(how: Walks) -> list[set[int]]:
-    """For each table the sampled steps. A longer walk's key goes on from a shorter one's, so they share their steps."""
-    r = np.random.default_rng(how.seed)
-    out = []
-    for _ in range(how.tables):
-        low, steps = 0, set()
-        for high in sorted(how.steps):
-            steps |= set((low + r.choice(high - low, min(high - low, how.sampled if high > 4 else 1), replace=False)).tolist())
-            low = high
-        out.append(steps)
-    return out
-
-
 def walk_keys(words: np.ndarray, how: Walks, used: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray]]:
-    """(length of walk, key of each start) for all tables; the walks run over all words in a row."""
-    n, longest = len(words), max(used)
-    padded = np.concatenate([words, np.zeros(longest, U)])
-    now, bit, ones = np.empty(n, U), np.empty(n, np.uint16), np.uint16(1)
-    for table, steps in enumerate(_samples(how)):
-        bits = seeds.mix(padded ^ U(0x51ED270B0A1F39C1 * (table + 1) % (1 << 64))).astype(np.uint16)
+    """(words in a stretch, key of each start); the walks run over all words in a row."""
+    n = len(words)
+    padded = np.concatenate([words, np.zeros(max(used), U)])
+    bits = seeds.mix(padded ^ U(0x51ED270B0A1F39C1 * how.seed % (1 << 64)))
+    now, bit = np.empty(n, U), np.empty(n, U)
+    for t in used:
         at = np.arange(n)
-        keys = np.full(n, U(table + 1))
-        for j in range(longest):
-            if j in steps:
-                np.take(padded, at, out=now, mode="clip")
-                keys ^= now
-                keys *= U(seeds.BASE1)
-                keys ^= keys >> U(32)
-            if j + 1 in used:
-                yield j + 1, keys * U(seeds.BASE2)
+        last = at + (t - 1)
+        keys = np.full(n, U(t))
+        for j in range(how.steps * t):
+            np.take(padded, at, out=now, mode="clip")
+            keys ^= now
+            keys *= U(seeds.BASE1)
+            keys ^= keys >> U(32)
             np.take(bits, at, out=bit, mode="clip")
-            np.right_shift(bit, np.uint16(j), out=bit)
-            np.bitwise_and(bit, ones, out=bit)
-            at += bit
+            at += (bit >> U(j % 64) & U(1)).astype(np.int64)
+            np.minimum(at, last, out=at)
+        yield t, keys * U(seeds.BASE2)
 
 
 @dataclass
@@ -88,7 +81,7 @@ class Index:
     keys: dict[int, np.ndarray]
     of: dict[int, np.ndarray]
     offset: dict[int, np.ndarray]
-    distinct: list[set[int]]  # words of each item
+    distinct: list[np.ndarray]  # words of each item
 
 
 def build_index(items: list[tuple[int, str]], how: Walks) -> Index | None:
@@ -96,20 +89,18 @@ def build_index(items: list[tuple[int, str]], how: Walks) -> Index | None:
     words = [(i, w) for i, w in words if len(w)]
     if not words:
         return None
-    rows: dict[int, list[tuple[np.ndarray, int, np.ndarray]]] = defaultdict(list)
+    rows: dict[int, list[int]] = defaultdict(list)
     for k, (_, w) in enumerate(words):
-        t = next(s for s in how.steps if s <= len(w))
-        starts = np.arange(0, len(w) - t + 1, how.stride)
-        for _, keys in walk_keys(w, how, (t,)):
-            rows[t].append((keys[starts], k, starts))
+        rows[how.stretch(len(w))].append(k)
     keys, of, offset = {}, {}, {}
-    for t, parts in rows.items():
-        key = np.concatenate([p[0] for p in parts])
-        order = np.argsort(key)
-        keys[t] = key[order]
-        of[t] = np.concatenate([np.full(len(p[0]), p[1]) for p in parts])[order]
-        offset[t] = np.concatenate([p[2] for p in parts])[order]
-    return Index([w for _, w in words], [i for i, _ in words], tuple(sorted(rows, reverse=True)), keys, of, offset, [set(w.tolist()) for _, w in words])
+    for t, ks in rows.items():
+        sizes = np.array([len(words[k][1]) for k in ks])
+        _, key = next(walk_keys(np.concatenate([words[k][1] for k in ks]), how, (t,)))
+        at = np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        whole = np.flatnonzero(at + t <= np.repeat(sizes, sizes))
+        order = whole[np.argsort(key[whole])]
+        keys[t], of[t], offset[t] = key[order], np.repeat(np.array(ks), sizes)[order], at[order]
+    return Index([w for _, w in words], [i for i, _ in words], tuple(sorted(rows)), keys, of, offset, [np.unique(w) for _, w in words])
 
 
 def least_edits(item: np.ndarray, text: np.ndarray) -> int:
@@ -133,6 +124,40 @@ def least_edits(item: np.ndarray, text: np.ndarray) -> int:
     return best
 
 
+def _candidates(index: Index, words: np.ndarray, docs: np.ndarray, maybe: dict[int, np.ndarray], how: Walks) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(document, item, place where the item would begin) wherever a walk of both is the same, about ``SLICE`` at a time."""
+    for t, keys in walk_keys(words, how, index.used):
+        place = np.flatnonzero(maybe[t][(keys >> U(44)).astype(np.int64)])
+        low = np.searchsorted(index.keys[t], keys[place], "left")
+        n = np.searchsorted(index.keys[t], keys[place], "right") - low
+        place, low, n = place[n > 0], low[n > 0], n[n > 0]
+        total = np.cumsum(n)
+        a = 0
+        while a < len(n):
+            b = max(a + 1, int(np.searchsorted(total, total[a] - n[a] + SLICE, "right")))
+            p, m = np.repeat(place[a:b], n[a:b]), n[a:b]
+            q = np.arange(len(p)) + np.repeat(low[a:b] - (np.cumsum(m) - m), m)
+            yield np.searchsorted(docs, p, "right") - 1, index.of[t][q], p - index.offset[t][q]
+            a = b
+
+
+def _near(item: np.ndarray, distinct: np.ndarray, most: int, words: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Whether the windows lack few enough of the item's distinct words: an edit takes at most one of them away."""
+    size = len(item) + 4 * most
+    out = np.empty(len(low), bool)
+    step = max(1, SLICE // size)
+    for a in range(0, len(low), step):
+        at = low[a : a + step, None] + np.arange(size)
+        inside = at < high[a : a + step, None]
+        have = words[np.minimum(at, len(words) - 1)]
+        which = np.minimum(np.searchsorted(distinct, have), len(distinct) - 1)
+        seen = np.zeros((len(at), len(distinct)), bool)
+        row, col = np.nonzero(inside & (distinct[which] == have))
+        seen[row, which[row, col]] = True
+        out[a : a + step] = len(distinct) - seen.sum(axis=1) <= most
+    return out
+
+
 def _find_rows(sent, how: Walks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = sent.value
@@ -149,30 +174,30 @@ def _find_rows(sent, how: Walks):
                 words, docs = seeds.word_units(LOWER[data[bounds[i] : bounds[j]]], bounds[i : j + 1] - bounds[i])
                 if not len(words):
                     continue
-                tried: set[tuple[int, int, int]] = set()
-                for t, keys in walk_keys(words, how, index.used):
-                    place = np.flatnonzero(maybe[t][(keys >> U(44)).astype(np.int64)])
-                    low = np.searchsorted(index.keys[t], keys[place], "left")
-                    high = np.searchsorted(index.keys[t], keys[place], "right")
-                    for p, a, b in zip(place[low < high].tolist(), low[low < high].tolist(), high[low < high].tolist()):
-                        for q in range(a, b):
-                            k, o = int(index.of[t][q]), int(index.offset[t][q])
-                            d = int(np.searchsorted(docs, p, "right")) - 1
-                            if (d, k, p - o) in tried:
-                                continue
-                            tried.add((d, k, p - o))
-                            item = index.items[k]
-                            most = int(how.edits * len(item) + 1e-9)
-                            have = found.get((i + d, k))
+                for doc, of, begin in _candidates(index, words, docs, maybe, how):
+                    order = np.lexsort((begin, doc, of))
+                    doc, of, begin = doc[order], of[order], begin[order]
+                    new = seeds.sorted_groups(of, doc, begin)
+                    doc, of, begin = doc[new], of[new], begin[new]
+                    edges = np.flatnonzero(np.r_[seeds.sorted_groups(of), True])
+                    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                        k = int(of[a])
+                        item, most = index.items[k], how.most(len(index.items[k]))
+                        d = doc[a:b]
+                        low = np.maximum(docs[d], begin[a:b] - 2 * most)
+                        high = np.minimum(docs[d + 1], begin[a:b] + len(item) + 2 * most)
+                        near = _near(item, index.distinct[k], most, words, low, high)
+                        d, low, high = d[near], low[near], high[near]
+                        # windows that overlap are read as one
+                        new = np.r_[True, (d[1:] != d[:-1]) | (low[1:] > high[:-1])] if len(d) else near[:0]
+                        first = np.flatnonzero(new)
+                        for x, y in zip(first.tolist(), np.r_[first[1:], len(d)].tolist()):
+                            have = found.get((i + int(d[x]), k))
                             if have == 0:
                                 continue
-                            window = words[max(docs[d], p - o - 2 * most) : min(docs[d + 1], p - o + len(item) + 2 * most)]
-                            # an edit takes at most one of the item's distinct words away
-                            if len(index.distinct[k].difference(window.tolist())) > most:
-                                continue
-                            n = least_edits(item, window)
+                            n = least_edits(item, words[low[x] : high[y - 1]])
                             if n <= most and (have is None or n < have):
-                                found[i + d, k] = n
+                                found[i + int(d[x]), k] = n
             if found:
                 rows = sorted(found.items())
                 yield pa.record_batch([pa.array([int(ids[d]) for (d, _), _ in rows], pa.int64()), pa.array([index.ids[k] for (_, k), _ in rows], pa.int64()), pa.array([n for _, n in rows], pa.int32())], names=["doc_id", "item_id", "edits"])

@@ -60,3 +60,28 @@ def test_leaks(spark):
     assert dc.leaks(df.limit(0), bench).count() == 0 and dc.leaks(df, bench.limit(0)).count() == 0
     blocks = {(x.doc_id, x.item_id): x.edits for x in dc.leaks(df, bench, dc.Walks(block=7)).collect()}
     assert blocks == got
+
+
+def edited(item, spots, fresh):
+    """The item with a replacement, a removal or an insertion at each spot, in turn."""
+    out = []
+    for i, w in enumerate(item):
+        kind = spots.get(i)
+        out += [w] if kind is None else [[fresh()], [], [w, fresh()]][kind]
+    return out
+
+
+def test_each_place_of_an_edit(spark):
+    """One edit at each word, the first and the last included, for items of 5 to 60 words."""
+    names = iter(range(10**9))
+    fresh = lambda: f"f{next(names)}"
+    items, docs, planted = [], [], set()
+    for m in range(5, 61):
+        item = [f"i{m}x{k}" for k in range(m)]
+        items.append((m, " ".join(item)))
+        for at in range(m):
+            for kind in range(3):
+                planted.add((len(docs), m))
+                docs.append((len(docs), " ".join([fresh(), fresh(), *edited(item, {at: kind}, fresh), fresh()])))
+    got = {(x.doc_id, x.item_id): x.edits for x in dc.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got.keys() == planted and set(got.values()) <= {0, 1}
