@@ -85,3 +85,32 @@ def test_each_place_of_an_edit(spark):
                 docs.append((len(docs), " ".join([fresh(), fresh(), *edited(item, {at: kind}, fresh), fresh()])))
     got = {(x.doc_id, x.item_id): x.edits for x in dc.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got.keys() == planted and set(got.values()) <= {0, 1}
+
+
+def test_recall_at_all_allowed_edits(spark):
+    """Items of 5 to 60 words with as many edits as are allowed, each length at least 0.9; the least edits agree with brute force."""
+    r = random.Random(9)
+    names = iter(range(10**9))
+    fresh = lambda: f"f{next(names)}"
+    items, docs = [], []
+    for m in range(5, 61):
+        for _ in range(20):
+            i = len(docs)
+            item = [f"i{i}x{k}" for k in range(m)]
+            items.append((i, " ".join(item)))
+            spots = {k: r.randrange(3) for k in r.sample(range(m), m // 5)}
+            docs.append((i, " ".join([fresh(), fresh(), *edited(item, spots, fresh), fresh()])))
+    got = {(x.doc_id, x.item_id): x.edits for x in dc.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for m in range(5, 61):
+        assert sum((i, i) in got for i in range(20 * (m - 5), 20 * (m - 4))) >= 18, m
+    assert all(d == i and n == edits(items[i][1].split(), docs[d][1].split()) for (d, i), n in got.items())
+
+
+def test_all_pairs_of_a_small_vocabulary(spark):
+    """Repeated words and short items: the pairs and their edits are those of brute force."""
+    r = random.Random(10)
+    text = lambda n: " ".join(r.choice("abcdefghij") for _ in range(n))
+    items, docs = [(i, text(i % 24 + 1)) for i in range(72)], [(d, text(r.randint(0, 60))) for d in range(120)]
+    truth = {(d, i): n for d, t in docs for i, x in items if t and (n := edits(x.split(), t.split())) <= int(0.2 * len(x.split()) + 1e-9)}
+    got = {(x.doc_id, x.item_id): x.edits for x in dc.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == truth
