@@ -54,8 +54,10 @@ SITE_RULES = (
 )
 #: What decides where no site rule fits: any of these blocks, else the URL is allowed.
 PATTERN_RULES = (
-    pattern_rule("block", r"(^|\.)ads?[0-9]*\.[^/]*/", "ads"),
-    pattern_rule("block", r"/(login|signin)(/|$)", "login"),
+    pattern_rule("block", r"(^|\.)ad[0-9]*\.[^/]*/", "ad"),
+    pattern_rule("block", r"(^|\.)ads[0-9]*\.[^/]*/", "ads"),
+    pattern_rule("block", r"/login(/|$)", "login"),
+    pattern_rule("block", r"/signin(/|$)", "signin"),
     pattern_rule("block", r"/cgi-bin/[^/]+\.(exe|dll)$", "cgi-bin"),
 )
 
@@ -71,7 +73,9 @@ def with_parts(df: DataFrame, url: str = "url") -> DataFrame:
 
 
 def tokens_of(host: Column, path: Column) -> Column:
-    return F.array_distinct(F.concat(F.split(host, r"\."), F.split(path, "/")))
+    """Labels of the host, segments of the path, and what stands between dots without the digits at its end."""
+    dotted = F.transform(F.split(F.concat(host, path), r"\."), lambda x: F.regexp_replace(x, "[0-9]+$", ""))
+    return F.array_distinct(F.concat(F.split(host, r"\."), F.split(path, "/"), dotted))
 
 
 def rarest_tokens(parts: DataFrame, rules: tuple[Rule, ...]) -> dict[str, list[Rule]]:

@@ -25,6 +25,15 @@ def test_urls(spark):
     assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
+def test_pattern_rules_need_their_tokens(spark):
+    """Each URL that a pattern fits is blocked, whichever of the pattern's forms it has."""
+    fit = ["http://ad.x.fr/", "http://ads.x.fr/", "http://ads2.x.fr/a", "http://b.AD17.x.fr/", "http://x.fr/a.ads7.b/c", "http://x.fr/login", "http://x.fr/signin", "http://x.fr/a/signin/b?q", "http://x.fr/cgi-bin/a.exe"]
+    free = ["http://ad.x.fr", "http://adx.x.fr/", "http://ads2x.x.fr/", "http://x.fr/signing", "http://x.fr/my-login", "http://signin.x.fr/"]
+    df = spark.createDataFrame(list(enumerate(fit + free)), "page_id long, url string")
+    got = {r.url: r.verdict for r in url_filter.judge_urls(df).collect()}
+    assert got == {u: "block" for u in fit} | {u: "allow" for u in free}
+
+
 TEXTS = ["", None, "plain", "a\\b<|end|>\n", "<\\|turn|>", "\\<|", "\\\\<\\\\|", "</s>[INST] ok [/INST]", "é😀\n\n", "x" * 50_000]
 
 
