@@ -35,6 +35,7 @@ class Walks:
     edits: float = 0.2  # allowed word edits as a share of the item's words
     seed: int = 23
     block: int = 20_000  # items broadcast at once
+    block_bytes: int = 8_000_000  # and bytes of their texts; an index takes about 40 bytes a word
 
     def most(self, n: int) -> int:
         """Allowed edits of an item of n words."""
@@ -103,6 +104,21 @@ def build_index(items: list[tuple[int, str]], how: Walks) -> Index | None:
     return Index([w for _, w in words], [i for i, _ in words], tuple(sorted(rows)), keys, of, offset, [np.unique(w) for _, w in words])
 
 
+def blocks(items: Iterator[tuple[int, str]], how: Walks) -> Iterator[list[tuple[int, str]]]:
+    """Items in a row, bounded in number and in bytes; an item that is over the bound by itself stands alone."""
+    held: list[tuple[int, str]] = []
+    size = 0
+    for item in items:
+        n = len(item[1].encode())
+        if held and (len(held) >= how.block or size + n > how.block_bytes):
+            yield held
+            held, size = [], 0
+        held.append(item)
+        size += n
+    if held:
+        yield held
+
+
 def least_edits(item: np.ndarray, text: np.ndarray) -> int:
     """Least number of word edits between the item and any stretch of the text (bit-parallel over the item's words)."""
     m = len(item)
@@ -211,26 +227,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, how: Walks = Walks()) -> DataFr
     An item leaks if a stretch of the document is within ``how.edits`` of the item's words, in word insertions,
     deletions and replacements; words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Null and empty texts and items, and
     rows with null ids, match nothing. Rows that repeat a document or an item give one pair. The items are read in
-    blocks of ``how.block``, each broadcast by itself, so the documents are read once for each block and never shuffled;
+    blocks of ``how.block`` or ``how.block_bytes``, each broadcast by itself, so the documents are read once for each block and never shuffled;
     only the pairs found are.
     """
     spark = docs.sparkSession
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     out = spark.createDataFrame([], "doc_id long, item_id long, edits int")
-    held: list[tuple[int, str]] = []
-
-    def search() -> None:
-        nonlocal out
+    for held in blocks(((row.item_id, row.text) for row in items.orderBy("item_id", "text").toLocalIterator()), how):
         if index := build_index(held, how):
             out = out.unionAll(texts.mapInArrow(_find_rows(spark.sparkContext.broadcast(index), how), "doc_id long, item_id long, edits int"))
-        held.clear()
-
-    for row in items.orderBy("item_id", "text").toLocalIterator():
-        held.append((row.item_id, row.text))
-        if len(held) >= how.block:
-            search()
-    search()
     return out.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
 
 

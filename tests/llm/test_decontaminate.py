@@ -114,3 +114,14 @@ def test_all_pairs_of_a_small_vocabulary(spark):
     truth = {(d, i): n for d, t in docs for i, x in items if t and (n := edits(x.split(), t.split())) <= int(0.2 * len(x.split()) + 1e-9)}
     got = {(x.doc_id, x.item_id): x.edits for x in dc.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == truth
+
+
+def test_blocks_are_bounded_by_bytes(spark):
+    how = dc.Walks(block=5, block_bytes=300)
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(n))) for i, n in enumerate([1, 1, 1, 1, 1, 1, 200, 20, 20, 20, 20, 1])]
+    made = list(dc.blocks(iter(items), how))
+    assert [x for b in made for x in b] == items and len(made) > 3
+    assert all(len(b) <= 5 and (len(b) == 1 or sum(len(t) for _, t in b) <= 300) for b in made)
+    df = spark.createDataFrame([(9, items[6][1] + " " + items[8][1])], "doc_id long, text string")
+    got = dc.leaks(df, spark.createDataFrame(items, "item_id long, text string"), how).collect()
+    assert sorted((x.doc_id, x.item_id, x.edits) for x in got) == [(9, 6, 0), (9, 8, 0)]
