@@ -20,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share; a local one is set only where none is named (tests)."""
+    """The folder that all executors and the driver share; a local one is set only in local mode where none is named (tests)."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         named = "file://" + tempfile.mkdtemp(prefix="spark-ionsift-")
@@ -47,40 +49,54 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    jpath, fs = _file(spark, path)
+    fs.deleteOnExit(jpath)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._ionsift_path = path
+    return out
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-    return (row["n"], row["s"])
+def _file(spark: SparkSession, path: str):
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath, jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once all that reads them has been written itself."""
+    for df in tables:
+        if path := getattr(df, "_ionsift_path", None):
+            jpath, fs = _file(df.sparkSession, path)
+            fs.delete(jpath, True)
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether all edges are stars: each left end has one edge, and none is a right end."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("left"), F.lit(0).alias("right")).unionAll(edges.select("v", F.lit(0), F.lit(1)))
+    per_id = ends.groupBy("id").agg(F.sum("left").alias("left"), F.max("right").alias("right"))
+    return not per_id.where("left > 1 or left > 0 and right > 0").limit(1).count()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``(u, v)`` links -> ``(id, component_id)`` for every linked id; component_id is the smallest reachable id.
+    """``(u, v)`` links -> ``(id, component_id)`` for every linked id but the smallest of each component, which is component_id.
 
     Alternating large-star and small-star rounds: only minima are aggregated, no neighbour list is
     gathered, and each round is a written table. Rows with a null end and self links are ignored.
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u is not null and v is not null and u != v").distinct()
     e = materialize(e, "edges")
-    seen = _fingerprint(e)
-    if seen[0] == 0:
-        return e.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
     for _ in range(max_rounds):
+        if _settled(e):
+            break
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
-        e = materialize(small.where("u != v").distinct(), "edges")
-        now = _fingerprint(e)
-        if now == seen:
-            break
-        seen = now
+        last, e = e, materialize(small.where("u != v").distinct(), "edges")
+        forget(last)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
+    out = e.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
+    out._ionsift_path = e._ionsift_path
+    return out
