@@ -1,4 +1,10 @@
-"""Substring dedup over words: join documents on winnowed anchors, extend both ways, keep what reaches the threshold."""
+"""Substring dedup over words: seed on winnowed anchors, extend the matches both ways, keep what reaches the threshold.
+
+Documents are joined on the anchors of their segments. Equal segments are one match; of different segments under one
+anchor the match is extended word by word to either side, as far as the segments go, and kept as a maximal repeat where
+it reaches the threshold. The extension compares the words themselves: equal stretches of doubling length get equal
+ranks, so all matches under an anchor are extended at once instead of pair by pair.
+"""
 
 from __future__ import annotations
 
@@ -8,49 +14,65 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ionsift.llm import seeds
-from ionsift.llm.common import materialize
 
 GRAM, SIZE = 4, 13
+#: Contested segments held at once in a task, about.
+ROWS = 1 << 15
 
 
-def _window_rows(size: int):
-    """mapInArrow: contested segments -> the hash of each of their windows, that is of the anchor extended both ways."""
+def ranks(units: np.ndarray, size: int) -> np.ndarray:
+    """A number for each ``size`` neighbouring units, equal exactly where the units are."""
+    rank, have = np.unique(units, return_inverse=True)[1].astype(np.int64), 1
+    while have < size and len(rank):
+        step = min(have, size - have)
+        rank = np.unique(rank[:-step] * (int(rank.max()) + 1) + rank[step:], return_inverse=True)[1].astype(np.int64)
+        have += step
+    return rank
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, bounds = seeds.texts(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            cut, rows = seeds.lists(batch.column("at"))
-            start, n = (rows.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n"))
-            for i, j in seeds.chunks(bounds):
-                units, docs = seeds.word_units(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-                s, k = start[cut[i] : cut[j]], n[cut[i] : cut[j]]
-                if not len(s):
-                    continue
-                d = np.repeat(np.arange(j - i), np.diff(cut[i : j + 1]))
-                own = np.repeat(np.arange(len(s)), k)
-                at = np.arange(len(own)) - np.repeat(np.cumsum(k) - k, k) + s[own]
-                begin = at + docs[d[own]]
-                h1, h2 = (seeds.mix(seeds.Prefix(units, b).of(begin, begin + size)).view(np.int64) for b in (seeds.BASE1, seeds.BASE2))
-                yield pa.record_batch([pa.array(h1), pa.array(h2), pa.array(ids[d[own] + i]), pa.array(at.astype(np.int32))], names=["h1", "h2", "doc", "start"])
 
-    return run
+def _words(values: pa.Array) -> tuple[list[bytes], np.ndarray]:
+    """Words of the stretches in a row, and each stretch's bounds."""
+    split = [v.as_py().split() for v in values]
+    return [w for v in split for w in v], np.concatenate([[0], np.cumsum([len(v) for v in split])]).astype(np.int64)
+
+
+def _starts(bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and places of all windows that lie within one stretch."""
+    n = np.maximum(np.diff(bounds) - size + 1, 0)
+    own = np.repeat(np.arange(len(n)), n)
+    return own, np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
 
 
-def _windows(docs: DataFrame, found: DataFrame, size: int) -> DataFrame:
-    near = seeds.with_stretches(docs.select("doc_id", "text"), found.where("contested"), "inner").select("doc_id", "text", "at")
-    return near.mapInArrow(_window_rows(size), "h1 long, h2 long, doc long, start int")
+def extend(size: int):
+    """(doc, start, words) of segments -> the maximal repeats that also stand in a smaller document."""
+
+    def settle(doc: np.ndarray, start: np.ndarray, values: pa.Array) -> pa.RecordBatch:
+        words, bounds = _words(values)
+        own, at = _starts(bounds, size)
+        window = ranks(pa.array(words, pa.binary()).dictionary_encode().indices.to_numpy(), size)[bounds[own] + at]
+        low = np.full(int(window.max()) + 1 if len(window) else 0, np.iinfo(np.int64).max)
+        np.minimum.at(low, window, doc[own])
+        again = doc[own] > low[window]
+        return seeds.merged(doc, own[again], at[again], start)
+
+    return settle
+
+
+def _windows(size: int):
+    def run(values: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        words, bounds = _words(values)
+        own, at = _starts(bounds, size)
+        return own, at, [b" ".join(words[i : i + size]) for i in (bounds[own] + at).tolist()]
+
+    return run
 
 
-def repeats(docs: DataFrame, gram: int = GRAM, size: int = SIZE) -> DataFrame:
+def repeats(docs: DataFrame, gram: int = GRAM, size: int = SIZE, most: int = ROWS) -> DataFrame:
     """``doc, start, n``: windows ``start .. start + n - 1`` (of ``size`` words each) that also start in a smaller doc_id."""
     found = seeds.seek(docs, "word", gram, size)
-    windows = materialize(_windows(docs, found, size), "windows")
-    low = windows.groupBy("h1", "h2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-    extended = windows.join(low, ["h1", "h2"]).where("doc > low").select("doc", "start", F.lit(1).alias("n"))
+    extended = seeds.contested(docs, found, "word", gram, size, most, extend(size), _windows(size))
     return found.where("not contested").select("doc", "start", "n").unionAll(extended)
 
 
@@ -87,5 +109,5 @@ def dedup(docs: DataFrame, gram: int = GRAM, size: int = SIZE, texts: bool = Tru
     two texts. ``kept`` is null unless ``texts``. A row with a null id loses nothing and takes nothing. Other columns are not carried.
     """
     found = repeats(docs, gram, size)
-    joined = seeds.with_stretches(docs.select("doc_id", "text"), found.withColumn("key", F.lit(0)), "left").select("doc_id", "text", "at")
+    joined = seeds.with_stretches(docs.select("doc_id", "text"), found, "left").select("doc_id", "text", "at")
     return joined.mapInArrow(_finish(size, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")

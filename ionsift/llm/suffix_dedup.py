@@ -14,13 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ionsift.llm import seeds
-from ionsift.llm.common import materialize
 
 GRAM, SIZE = 16, 50
-#: Contested segments sorted at once in a task, at most; an anchor with more goes by window hash instead.
+#: Stretches sorted at once in a task, about; of an anchor context with over twice as many Spark groups the strings themselves.
 ROWS = 1 << 15
 
 
@@ -70,7 +68,7 @@ def sort_suffixes(data: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndar
     first = np.repeat(begin, size)[place]
     first = first - place + np.arange(len(place))  # where the element's class begins among the merged
     length = np.repeat(size, size)[place]
-    sums = seeds.Prefix(seeds.BYTE_HASH[data])
+    sums = seeds.Prefix(data)
     width, most = 1, int(length.max())
     while width < most:
         i = np.arange(len(x)) - first
@@ -106,7 +104,7 @@ def shared_windows(data: np.ndarray, bounds: np.ndarray, doc: np.ndarray, size:
         return at[:0], at[:0]
     own = np.searchsorted(bounds, at, "right") - 1
     sorted_ = sort_suffixes(data, ends, at)
-    sums = seeds.Prefix(seeds.BYTE_HASH[data])
+    sums = seeds.Prefix(data)
     a, b = sorted_[:-1], sorted_[1:]
     near = common_extension(sums, a, b, np.full(len(a), size)) >= size
     # the bytes confirm what the hashes say
@@ -123,127 +121,34 @@ def shared_windows(data: np.ndarray, bounds: np.ndarray, doc: np.ndarray, size:
     return at[keep], own[keep]
 
 
-def _contested_rows(gram: int, size: int):
-    """mapInArrow: documents beside their contested segments -> the bytes of the segments' windows, dealt out more finely.
+def _sort(size: int):
+    """(doc, start, bytes) of stretches -> the runs of windows that the suffix sort finds in a smaller document too."""
 
-    A window reaches at least half of ``size - gram`` bytes beyond its anchor on one side. So each segment gives up
-    to two rows, keyed by the anchor with that many bytes before it or after it, with the windows that hold them.
-    """
-    half = (size - gram) // 2
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, bounds = seeds.texts(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            cut, rows = seeds.lists(batch.column("at"))
-            start, n = (rows.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n"))
-            for i, j in seeds.chunks(bounds):
-                s, k = start[cut[i] : cut[j]], n[cut[i] : cut[j]]
-                if not len(s):
-                    continue
-                part = data[bounds[i] : bounds[j]]
-                own = np.repeat(np.arange(i, j), np.diff(cut[i : j + 1]))
-                offset = bounds[own] - bounds[i]
-                first = s + offset
-                prefix, _, place = seeds.anchors(seeds.BYTE_HASH[part], gram, size)
-                anchor = place[first]
-                raw = part.tobytes()
-                # windows that start at anchor - half or before reach that far back; the others reach far ahead
-                back = np.clip(anchor - half - first + 1, 0, k)
-                for side, b, count in ((0, first, back), (1, first + back, k - back)):
-                    has = np.flatnonzero(count > 0)
-                    a = anchor[has]
-                    key = seeds.mix(prefix.of(a - half, a + gram) if side == 0 else prefix.of(a, a + gram + half) + np.uint64(1)).view(np.int64)
-                    begin, stop = b[has], b[has] + count[has] + size - 1
-                    yield pa.record_batch(
-                        [pa.array(key), pa.array(ids[own[has]]), pa.array((begin - offset[has]).astype(np.int32)), pa.array([raw[x:y] for x, y in zip(begin.tolist(), stop.tolist())], pa.binary())],
-                        names=["key", "doc", "start", "bytes"],
-                    )
-
-    return run
-
-
-SORTED = "doc long, start int, n int, h1 long, h2 long"
-
-
-def _sort_rows(size: int, most: int):
-    """mapInArrow over segments sorted by key: suffix sort of whole anchors; windows of an anchor that is too large go on by hash (n = 0)."""
-
-    def settle(key, doc, start, values) -> Iterator[pa.RecordBatch]:
-        new = seeds.sorted_groups(key)
-        many = np.flatnonzero(~(new & np.r_[new[1:], True]))  # a key of one row shares nothing
-        if not len(many):
-            return
-        key, doc, start, values = key[many], doc[many], start[many], values.take(pa.array(many))
+    def settle(doc: np.ndarray, start: np.ndarray, values: pa.Array) -> pa.RecordBatch:
         data, bounds = seeds.texts(values)
         at, own = shared_windows(data, bounds, doc, size)
-        if len(at):
-            where = (start[own] + at - bounds[own]).astype(np.int32)
-            joins = np.r_[False, (own[1:] == own[:-1]) & (at[1:] == at[:-1] + 1)]
-            begin = np.flatnonzero(~joins)
-            n = np.diff(np.r_[begin, len(at)]).astype(np.int32)
-            zero = np.zeros(len(begin), np.int64)
-            yield pa.record_batch([pa.array(doc[own[begin]]), pa.array(where[begin]), pa.array(n), pa.array(zero), pa.array(zero)], names=["doc", "start", "n", "h1", "h2"])
+        return seeds.merged(doc, own, at - bounds[own], start)
+
+    return settle
+
 
-    def by_hash(doc, start, values) -> Iterator[pa.RecordBatch]:
+def _windows(size: int):
+    def run(values: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         data, bounds = seeds.texts(values)
+        raw = data.tobytes()
         ends = np.repeat(bounds[1:], np.diff(bounds))
         at = np.flatnonzero(np.arange(len(data)) + size <= ends)
         own = np.searchsorted(bounds, at, "right") - 1
-        h1, h2 = (seeds.mix(seeds.Prefix(seeds.BYTE_HASH[data], b).of(at, at + size)).view(np.int64) for b in (seeds.BASE1, seeds.BASE2))
-        yield pa.record_batch([pa.array(doc[own]), pa.array((start[own] + at - bounds[own]).astype(np.int32)), pa.array(np.zeros(len(at), np.int32)), pa.array(h1), pa.array(h2)], names=["doc", "start", "n", "h1", "h2"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows, spilling = 0, None
-        for whole in batches:
-            for batch in (whole.slice(i, 4096) for i in range(0, whole.num_rows, 4096)):
-                key = batch.column("key").to_numpy()
-                if spilling is not None:
-                    more = int(np.searchsorted(key != spilling, True)) if (key != spilling).any() else len(key)
-                    if more:
-                        part = batch.slice(0, more)
-                        yield from by_hash(part.column("doc").to_numpy(), part.column("start").to_numpy(), part.column("bytes"))
-                        batch, key = batch.slice(more), key[more:]
-                    if not len(key):
-                        continue
-                    spilling = None
-                held.append(batch)
-                rows += len(key)
-                if rows < most:
-                    continue
-                table = pa.Table.from_batches(held).combine_chunks()
-                key = table.column("key").to_numpy()
-                last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
-                if last:
-                    done, table = table.slice(0, last), table.slice(last)
-                    yield from settle(key[:last], done.column("doc").to_numpy(), done.column("start").to_numpy(), done.column("bytes").combine_chunks())
-                elif table.num_rows >= 2 * most or rows >= most:
-                    yield from by_hash(table.column("doc").to_numpy(), table.column("start").to_numpy(), table.column("bytes").combine_chunks())
-                    spilling, table = key[-1], table.slice(table.num_rows)
-                held, rows = table.to_batches(), table.num_rows
-        if rows:
-            table = pa.Table.from_batches(held).combine_chunks()
-            yield from settle(table.column("key").to_numpy(), table.column("doc").to_numpy(), table.column("start").to_numpy(), table.column("bytes").combine_chunks())
+        return own, at - bounds[own], [raw[i : i + size] for i in at.tolist()]
 
     return run
 
 
-def _sorted(docs: DataFrame, found: DataFrame, gram: int, size: int, most: int) -> DataFrame:
-    near = seeds.with_stretches(docs.select("doc_id", "text"), found.where("contested"), "inner").select("doc_id", "text", "at")
-    stretches = near.mapInArrow(_contested_rows(gram, size), "key long, doc long, start int, bytes binary")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stretches.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_sort_rows(size, most), SORTED)
-
-
 def repeats(docs: DataFrame, gram: int = GRAM, size: int = SIZE, most: int = ROWS) -> DataFrame:
     """``doc, start, n``: places ``start .. start + n - 1`` whose ``size`` bytes also start in a smaller doc_id."""
     found = seeds.seek(docs, "byte", gram, size)
-    sorted_ = materialize(_sorted(docs, found, gram, size, most), "suffixes")
-    rest = sorted_.where("n = 0")
-    low = rest.groupBy("h1", "h2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-    hashed = rest.join(low, ["h1", "h2"]).where("doc > low").select("doc", "start", F.lit(1).alias("n"))
-    return found.where("not contested").select("doc", "start", "n").unionAll(sorted_.where("n > 0").select("doc", "start", "n")).unionAll(hashed)
+    sorted_ = seeds.contested(docs, found, "byte", gram, size, most, _sort(size), _windows(size))
+    return found.where("not contested").select("doc", "start", "n").unionAll(sorted_)
 
 
 def _finish(size: int, texts: bool):
@@ -278,5 +183,5 @@ def dedup(docs: DataFrame, gram: int = GRAM, size: int = SIZE, texts: bool = Tru
     takes nothing. Other columns are not carried.
     """
     found = repeats(docs, gram, size)
-    joined = seeds.with_stretches(docs.select("doc_id", "text"), found.withColumn("key", F.lit(0)), "left").select("doc_id", "text", "at")
+    joined = seeds.with_stretches(docs.select("doc_id", "text"), found, "left").select("doc_id", "text", "at")
     return joined.mapInArrow(_finish(size, texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

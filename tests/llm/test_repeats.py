@@ -49,6 +49,12 @@ def test_words(spark, seed, gram, size):
     want = brute(rows, lambda t: (t or "").encode().split(), size)
     df = spark.createDataFrame(rows + rows[:3] + [(None, rows[0][1])], "doc_id long, text string").withColumn("start", F.lit("x")).repartition(5)
     got = substring_dedup.dedup(df, gram, size).collect()
+    few = substring_dedup.repeats(df.drop("start"), gram, size, 16)
+    gone = {i: [False] * len(u) for i, (u, _) in want.items()}
+    for r in few.collect():
+        for s in range(r.start, r.start + r.n):
+            gone[r.doc][s : s + size] = [True] * size
+    assert {i: g for i, (_, g) in want.items()} == gone
     assert len(got) == len(rows) + 4
     for r in got:
         if r.doc_id is None:
@@ -60,7 +66,7 @@ def test_words(spark, seed, gram, size):
     assert substring_dedup.dedup(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("seed,gram,size,most", [(3, 16, 50, 1 << 15), (4, 4, 12, 64)])
+@pytest.mark.parametrize("seed,gram,size,most", [(3, 16, 50, 1 << 15), (4, 4, 12, 16)])
 def test_bytes(spark, monkeypatch, seed, gram, size, most):
     rows = corpus(seed)
     want = brute(rows, lambda t: (t or "").encode(), size)
@@ -94,7 +100,33 @@ def test_suffix_sort():
 
 
 def test_hashes():
-    x = np.arange(50, dtype=np.uint64)
+    x = np.random.default_rng(1).integers(0, 256, 5000).astype(np.uint8)
     p = seeds.Prefix(x)
-    assert p.of(np.array([3]), np.array([9]))[0] == seeds.Prefix(x[3:9]).of(np.array([0]), np.array([6]))[0]
+    assert p.of(np.array([3]), np.array([4900]))[0] == seeds.Prefix(x[3:4900]).of(np.array([0]), np.array([4897]))[0]
+    prime, base = 2**61 - 1, seeds.BASE1 % (2**61 - 1)
+    assert int(p.of(np.array([5]), np.array([90]))[0]) == sum((int(x[5 + i]) + 1) * pow(base, i, prime) for i in range(85)) % prime
     assert [int(v) for v in seeds.sliding_min(np.array([5, 3, 4, 9, 1, 7]), 3)] == [3, 3, 1, 1]
+    for k in (3, 8, 12, 16, 30):
+        g = seeds.byte_grams(np.r_[x, x], k)
+        assert len(g) == 2 * len(x) - k + 1 and (g[: len(x) - k + 1] == g[len(x) :]).all() and len(np.unique(g[: len(x) - k + 1])) > (len(x) - k) * (0.99 if k > 3 else 0.9)
+
+
+@pytest.mark.parametrize("n", [256, 1024, 4096])
+def test_thue_morse(spark, n):
+    """Two words that every polynomial hash modulo 2**64 confuses are two words; so are their bytes."""
+    t = [bin(i).count("1") % 2 for i in range(n)]
+    a, b = "".join("ab"[x] for x in t), "".join("ba"[x] for x in t)
+    rest = " ".join(f"w{i}" for i in range(12))
+    df = spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{a} {rest}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup.dedup(df).collect()} == {1: 0, 2: 0, 3: 13}
+
+
+def test_texts_over_a_chunk(spark):
+    """Texts longer than what a task hashes at once; the repeat lies across the border."""
+    r = random.Random(6)
+    words = [f"w{r.randrange(10**6)}" for _ in range(160_000)]
+    text, rest = " ".join(words), " ".join(words[130_000:])
+    assert len(text) > seeds.CHUNK
+    df = spark.createDataFrame([(1, text), (2, "x y " + rest), (3, "z" * (seeds.CHUNK + 100))], "doc_id long, text string")
+    assert {x.doc_id: x.n_removed for x in substring_dedup.dedup(df).collect()} == {1: 0, 2: 30_000, 3: 0}
+    assert {x.doc_id: x.n_removed for x in suffix_dedup.dedup(df).collect()} == {1: 0, 2: len(rest) + 1, 3: 0}
