@@ -63,7 +63,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"))
     done = chat.format_turns(rows.withColumn("content", chat.text_parts(F.col("text"))))
     turns = F.transform(chat.read_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    learnt = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: chat.unescape(s["text"])), "")
+    learnt = F.array_join(F.transform("loss_spans", lambda s: chat.unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
     return done.select(
         "conv_id", F.size(chat.read_turns(F.col("formatted"))).cast("long").alias("n_turns"), F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"),
         F.length(learnt).cast("long").alias("loss_chars"), F.sha2(learnt, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
@@ -114,9 +114,8 @@ WITH p AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url,
  m AS (SELECT q.*, (SELECT max_by(struct_pack(rule := h || pre, action := action), length(h || pre)) FROM r
          WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre)) AS best FROM q)
 SELECT page_id, host, path, best.rule AS rule,
-       coalesce(best.action, CASE WHEN regexp_matches(host || path, '(^|\.)ads?[0-9]*\.[^/]*/') AND list_contains(string_split(host, '.'), 'ads')
-                                    OR regexp_matches(host || path, '/(login|signin)(/|$)') AND list_contains(string_split(path, '/'), 'login')
-                                    OR regexp_matches(host || path, '/cgi-bin/[^/]+\.(exe|dll)$') THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(best.action, CASE WHEN regexp_matches(host || path, '(^|\.)ads?[0-9]*\.[^/]*/|/(login|signin)(/|$)|/cgi-bin/[^/]+\.(exe|dll)$|\.(exe|scr|msi)$')
+                                    OR regexp_matches(host, '(^|[.-])(adult|bets|casino|pills|spam)([.-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
 FROM m
 """
 

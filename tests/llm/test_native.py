@@ -34,6 +34,35 @@ def test_pattern_rules_need_their_tokens(spark):
     assert got == {u: "block" for u in fit} | {u: "allow" for u in free}
 
 
+def test_urls_against_all_rules(spark, monkeypatch):
+    """Every rule on every URL, in the plan and as a table; long URLs and rules without a token among them."""
+    r = random.Random(12)
+    bits = ["a", "ad", "ads", "ads7", "ad12", "login", "signin", "en", "de", "es", "casino", "spam-farm", "free-bets", "x", "example", "com", "net", "org", "cgi-bin", "f.exe", "f.dll", "7", "8", "-", "adult"]
+    urls = []
+    for _ in range(800):
+        host = ".".join(r.choice(bits).replace("/", "") for _ in range(r.randint(1, 4)))
+        path = "".join("/" + r.choice(bits) + r.choice(["", r.choice(bits)]) for _ in range(r.randint(0, 4)))
+        urls.append(f"http://{host}{path}{r.choice(['', '/', '?q=/login', '#/signin', chr(10)])}")
+    urls += ["http://x.org/" + "a/" * 20_000 + "login", "http://" + "b." * 20_000 + "ads.c/", "http://a.org/" + "x" * 100_000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = url_filter.SITE_RULES + url_filter.PATTERN_RULES
+
+    def brute(url):
+        rest = url.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host):])[0]
+        text = host.lower() + path
+        fits = [x for x in rules if re.search(x.pattern.replace(r"\z", r"\Z"), text)]
+        site = max((x for x in fits if x.site), key=lambda x: (len(x.name), x.name), default=None)
+        return (site.name, site.action) if site else (None, "block" if any(x.action == "block" for x in fits) else "allow")
+
+    want = {i: brute(u) for i, u in enumerate(urls)}
+    assert {w[1] for w in want.values() if w[0] is None} == {"allow", "block"}
+    assert {x.page_id: (x.rule, x.verdict) for x in url_filter.judge_urls(df).collect()} == want
+    monkeypatch.setattr(url_filter, "INLINE", 2)
+    assert {x.page_id: (x.rule, x.verdict) for x in url_filter.judge_urls(df, inline=3).collect()} == want
+
+
 TEXTS = ["", None, "plain", "a\\b<|end|>\n", "<\\|turn|>", "\\<|", "\\\\<\\\\|", "</s>[INST] ok [/INST]", "é😀\n\n", "x" * 50_000]
 
 
