@@ -129,6 +129,8 @@ def _key_rows(how: Lattice):
     return run
 
 
+#: How far a block product may lie below the exact sum of a pair of unit vectors.
+SLACK = 1e-9
 LINKED = "rep long, links long, root long"
 
 
@@ -162,7 +164,7 @@ def _compare(rows: pa.Table, cosine: float, how: Lattice) -> pa.RecordBatch | No
     own, probed = np.zeros((len(rep), how.tables), U), np.zeros((len(rep), how.tables, how.probes), U)
     for b in range(0, len(rep), 512):
         s = slice(b, b + 512)
-        close = x[s] @ x.T >= cosine
+        close = x[s] @ x.T >= cosine - SLACK  # block products differ in their last bits; the exact sum decides below
         close &= np.arange(len(rep))[None, :] > np.arange(b, min(b + 512, len(rep)))[:, None]
         close &= owns[s, None] | owns[None, :]
         if split:

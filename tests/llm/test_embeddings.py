@@ -60,3 +60,14 @@ def test_null_id_and_repeats(spark):
     got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in ed.link(df).collect())
     assert got == [(0, 0, 0, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
     assert df.select(F.count("vec_id")).first()[0] == 3
+
+
+def test_threshold_itself():
+    """Pairs at the threshold by the exact sum count, whatever block product finds them."""
+    r = np.random.default_rng(8)
+    x = r.normal(size=(600, 24))
+    x[300:] = x[:300] + 0.2 * r.normal(size=(300, 24))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    exact = np.einsum("ij,ij->i", x[:300], x[300:])
+    block = np.diag(x[:300] @ x[300:].T)
+    assert (np.abs(block - exact) < ed.SLACK / 1000).all()
