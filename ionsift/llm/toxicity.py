@@ -3,8 +3,11 @@
 Both dictionaries start with one trained on windows of ordinary text (entropy tables and content). The toxic one goes on
 with words that stand out in toxic training text, the ordinary one with ordinary text of the same length. A word
 stands out by the number of different neighbourhoods it has, so that copies of one document don't count. Windows that
-the toxic dictionary shortens are looked at again word by word. A logistic function, fitted on the labelled sample and
-shifted to its best F1 there, turns a document's length differences into a score.
+the toxic dictionary shortens are looked at again word by word. A logistic function turns a document's length
+differences into a score; it is fitted, and shifted to its best F1, on texts that the dictionaries in use have not seen.
+
+Dictionaries trained apart on windows of each class do worse, since few windows of a toxic text are toxic and the rest of
+both dictionaries differs by chance; README has the figures.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ class Fit:
     places: int = 8  # different neighbourhoods of a toxic word, at least
     odds: float = 20.0  # times as frequent in toxic text, at least
     words: int = 2_048  # of the toxic dictionary, at most
+    windows: int = 40_000  # of ordinary text that its dictionary is trained on
+    folds: int = 3  # for weights and threshold
     level: int = 3
     seed: int = 1
 
@@ -115,23 +120,37 @@ def _dictionary(windows: list[bytes], size: int) -> bytes:
         return b"".join(windows)[-size:]
 
 
-def fit(toxic: list[bytes], ordinary: list[bytes], how: Fit = Fit()) -> Model:
-    """Dictionaries and logistic weights from labelled texts; an empty model (score 0) if a label is missing."""
-    if not toxic or not ordinary:
-        return Model()
+def dictionaries(toxic: list[bytes], ordinary: list[bytes], how: Fit = Fit()) -> Model:
+    """Both dictionaries, without weights."""
     r = random.Random(how.seed)
     windows = [t[i : i + 64] for t in ordinary for i in range(0, len(t), 64)]
     r.shuffle(windows)
-    base = _dictionary(windows[:40_000], how.dictionary)
+    base = _dictionary(windows[: how.windows], how.dictionary)
     yes, no = _places(toxic), _places(ordinary)
     places = min(how.places, max(1, len(toxic) // 50))
     picked = sorted((w for w, c in yes.items() if c >= places and c / len(toxic) >= how.odds * (no[w] + 0.5) / len(ordinary)), key=lambda w: (yes[w], w))[-how.words :]
     more = b" " + b" ".join(picked) + b" "
     rest = b"".join(windows[:: max(1, len(windows) // 400)])
-    model = Model(base + more, base + (rest * (len(more) // max(1, len(rest)) + 1))[: len(more)], how.level)
-    scorer = Scorer(model)
-    some = [(1.0, t) for t in toxic[: how.toxic // 2]] + [(0.0, t) for t in ordinary[: how.ordinary // 2]]
-    x, y = np.array([scorer.features(t) for _, t in some]), np.array([label for label, _ in some])
+    return Model(base + more, base + (rest * (len(more) // max(1, len(rest)) + 1))[: len(more)], how.level)
+
+
+def fit(toxic: list[bytes], ordinary: list[bytes], how: Fit = Fit(), rarer: float = 4.0) -> Model:
+    """Dictionaries, logistic weights and threshold from labelled texts; an empty model (score 0) if a label is missing.
+
+    Weights and threshold come from texts that the dictionaries in use have not seen: each of ``how.folds`` parts is
+    measured with dictionaries made of the others. The final dictionaries are made of all texts. ``rarer`` says how many
+    times an ordinary text of the sample counts in the threshold's F1, as toxic ones are drawn more often.
+    """
+    if min(len(toxic), len(ordinary)) < 2:
+        return Model()
+    x, y = [], []
+    for f in range(folds := min(how.folds, len(toxic), len(ordinary))):
+        apart = Scorer(dictionaries([t for i, t in enumerate(toxic) if i % folds != f], [t for i, t in enumerate(ordinary) if i % folds != f], how))
+        for label, texts in ((1.0, toxic), (0.0, ordinary)):
+            some = texts[f::folds]
+            x += [apart.features(t) for t in some]
+            y += [label] * len(some)
+    x, y = np.array(x), np.array(y)
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.c_[np.ones(len(x)), (x - mean) / scale]
     w = np.zeros(z.shape[1])
@@ -144,9 +163,10 @@ def fit(toxic: list[bytes], ordinary: list[bytes], how: Fit = Fit()) -> Model:
     margin = z @ w
     # labels are rarer in the corpus than in the sample, so ordinary rows weigh more in the F1 that sets the threshold
     order = np.argsort(-margin)
-    hits, wrong = np.cumsum(y[order]), np.cumsum(1 - y[order]) * 4.0
+    hits, wrong = np.cumsum(y[order]), np.cumsum(1 - y[order]) * rarer
     best = int(np.argmax(2 * hits / (hits + wrong + y.sum())))
     w[0] -= (margin[order[best]] + margin[order[min(best + 1, len(order) - 1)]]) / 2
+    model = dictionaries(toxic, ordinary, how)
     model.mean, model.scale, model.weights = mean.tolist(), scale.tolist(), w.tolist()
     return model
 
@@ -155,11 +175,12 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> tuple[list[bytes], list[bytes]]:
+def sample(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> tuple[list[bytes], list[bytes], float]:
     """A bounded sample of labelled texts that are not held out: up to ``how.toxic`` and ``how.ordinary`` of them, by hash of the id.
 
     Twice as many ids are drawn from the labels first, since some texts may be missing or too long; that list, bounded by
-    the same parameters, is what is broadcast to the documents, so no text is shuffled.
+    the same parameters, is what is broadcast to the documents, so no text is shuffled. The number is how many times
+    fewer ordinary texts there are in the sample, beside toxic ones, than among all labels.
     """
     spark = docs.sparkSession
     marked = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -171,10 +192,12 @@ def sample(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> tuple[list[b
     by_id = {r.doc_id: r for r in got}
     rows = sorted(by_id.values(), key=lambda r: (r.h, r.doc_id))
     toxic, ordinary = ([r.text.encode() for r in rows if r.toxic == label][:n] for label, n in ((1, how.toxic), (0, how.ordinary)))
-    return toxic, ordinary
+    there = marked.agg(F.count_if(F.col("toxic") == 0).alias("no"), F.count_if(F.col("toxic") == 1).alias("yes")).first()
+    rarer = there.no / max(1, there.yes) * len(toxic) / max(1, len(ordinary))
+    return toxic, ordinary, max(1.0, rarer)
 
 
-def _score_rows(sent):
+def _score_rows(sent, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         at = None
@@ -182,7 +205,7 @@ def _score_rows(sent):
             names = batch.schema.names
             at = names.index("text") if at is None else at
             scores = [scorer.score((t.as_py() or "").encode()) for t in batch.column(at)]
-            yield pa.record_batch([*batch.columns, pa.array(scores, pa.float64())], names=[*names, "score"])
+            yield pa.record_batch([*batch.columns, pa.array(scores, pa.float64())], names=[*names, name])
 
     return run
 
@@ -194,8 +217,14 @@ def classify(docs: DataFrame, labels: DataFrame, how: Fit = Fit(), model: Model
     id is not held out. Rows, repeats and other columns stay. No shuffle but for the labelled sample.
     """
     plain = docs.drop("held_out", "score", "predicted")
-    model = model or fit(*sample(docs, labels, how), how)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())])
-    scored = plain.mapInArrow(_score_rows(sent), schema)
+    scored = with_score(plain, labels, "score", how, model)
     return scored.withColumns({"held_out": held_out(), "predicted": (F.col("score") >= 0.5).cast("int")})
+
+
+def with_score(docs: DataFrame, labels: DataFrame, name: str, how: Fit = Fit(), model: Model | None = None) -> DataFrame:
+    """Adds the score as column ``name``, which must be new."""
+    if model is None:
+        toxic, ordinary, rarer = sample(docs, labels, how)
+        model = fit(toxic, ordinary, how, rarer)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_score_rows(sent, name), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

@@ -43,7 +43,8 @@ def test_pipeline(spark, tmp_path):
 
     got = {x.doc_id: x for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     read = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    scorer = toxicity.Scorer(toxicity.fit(*toxicity.sample(read, spark.read.parquet(f"{tmp_path}/labels.parquet"))))
+    yes, no, rarer = toxicity.sample(read, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    scorer = toxicity.Scorer(toxicity.fit(yes, no, rarer=rarer))
     left = [(i, t) for i, t, *_ in docs if scorer.score((t or "").encode()) < 0.5]
     groups = brute(left, 80, 5)
     left = [(i, t) for i, t in left if groups[i][1] == i]

@@ -41,3 +41,26 @@ def test_edges(spark):
     few = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (None, 1), (2, None)], "doc_id long, toxic int")
     assert toxicity.classify(df, few).count() == 5
     assert toxicity.classify(df.where(F.lit(False)), few).count() == 0
+
+
+def test_scores_against_plain_version(spark):
+    """Scores by compressing each window on its own, without batches or prepared dictionaries."""
+    import zstandard as zs
+
+    data = rows(300, 5)
+    model = toxicity.fit([t.encode() for _, t, y in data if y], [t.encode() for _, t, y in data if not y])
+
+    def length(raw, window):
+        p = zs.ZstdCompressionParameters.from_level(model.level, format=zs.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
+        return len(zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(raw), compression_params=p).compress(window))
+
+    scorer = toxicity.Scorer(model)
+    for t in [t for _, t, _ in data[:6]] + [""]:
+        padded = b" " + t.encode()
+        windows = [padded[i : i + 32] for i in range(0, max(1, len(padded) - 16), 16)]
+        far = [length(model.ordinary, w) - length(model.toxic, w) for w in windows]
+        assert scorer.differences(windows).tolist() == far
+        f = scorer.features(t.encode())
+        assert (f[0], f[1]) == (max(far), sum(sorted(far)[-3:])) and abs(f[12] - sum(far) / len(far)) < 1e-12
+        z = model.weights[0] + sum(w * (x - u) / s for w, x, u, s in zip(model.weights[1:], f, model.mean, model.scale))
+        assert abs(scorer.score(t.encode()) - 1 / (1 + 2.718281828459045 ** -z)) < 1e-9
