@@ -13,6 +13,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ionsift.llm.common import fresh
+
 KINDS = ("email", "ip", "card", "phone")
 
 #: Base patterns. The possessive forms and the anchors before the first class give the contract's leftmost
@@ -26,15 +28,27 @@ BASE = {
 #: What a text must have before the base pattern is tried.
 HINT = {"email": r"@[A-Za-z0-9-]++\.", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9][\x20().0-9-]{6}"}
 HAS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-#: High-recall generators of further candidates.
+#: High-recall generators of further candidates; those of one kind may overlap, and so may kinds.
 MORE = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}\s?(?:\(at\)|\[at\]|\{at\}| at )\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.)\s?[A-Za-z]{2,24}){1,3}",
-    "ip": r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7}(?![0-9A-Za-z:])",
-    "card": r"(?<![0-9])[0-9]{4}[./\x20-]{1,3}[0-9]{4}[./\x20-]{1,3}[0-9]{4}[./\x20-]{1,3}[0-9]{1,7}(?![0-9])",
-    "phone": r"(?<![0-9+])\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{2,4}[\x20./-][0-9]{3,5}(?:[\x20./-][0-9]{2,4})?(?![0-9])",
+    "email": (
+        r"[A-Za-z0-9._%+-]{1,64}\s?(?:\(at\)|\[at\]|\{at\}| at )\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.)\s?[A-Za-z]{2,24}){1,3}",
+        r"[A-Za-z0-9._%+-]{1,64}(?:\x20@\x20?|@\x20)[A-Za-z0-9-]{1,63}(?:\x20?\.\x20?[A-Za-z0-9-]{2,24}){1,3}",
+    ),
+    "ip": (
+        r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7}(?![0-9A-Za-z:])",
+        r"(?<![0-9.])[0-9]{1,3}(?:\x20?(?:\[\.\]|\(\.\)|\[dot\])\x20?[0-9]{1,3}){3}(?![0-9])",
+    ),
+    "card": (
+        r"(?<![0-9])[0-9]{4}[./\x20-]{1,3}[0-9]{4}[./\x20-]{1,3}[0-9]{4}[./\x20-]{1,3}[0-9]{1,7}(?![0-9])",
+        r"(?<![0-9])3[47][0-9]{2}[./\x20-]{1,3}[0-9]{6}[./\x20-]{1,3}[0-9]{5}(?![0-9])",
+    ),
+    "phone": (
+        r"(?<![0-9+])\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{2,4}[\x20./-][0-9]{3,5}(?:[\x20./-][0-9]{2,4})?(?![0-9])",
+        r"(?<![0-9+])00[1-9][0-9]{0,2}[\x20./-]?[0-9]{2,4}[\x20./-]?[0-9]{3,4}[\x20./-]?[0-9]{2,4}(?![0-9])",
+    ),
 }
-MORE_HINT = {"email": r"[(\[{ ]at[)\]} ]", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:", "card": r"[0-9]{4}[./\x20-]{1,3}[0-9]{4}[./\x20-]{1,3}[0-9]{4}", "phone": r"[0-9]\)?[\x20./-]{1,2}[0-9]{2,4}[\x20./-][0-9]{3}"}
-MORE_HAS = {"email": "at) at] at} at", "ip": ":", "card": "", "phone": ""}
+MORE_HINT = {"email": r"[(\[{ ]at[)\]} ]|\x20@|@\x20", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:|[0-9]\x20?(?:\[\.\]|\(\.\)|\[dot\])", "card": r"[0-9]{4}[./\x20-]{1,3}[0-9]{4}[./\x20-]{1,3}[0-9]{4}|3[47][0-9]{2}[./\x20-]{1,3}[0-9]{6}", "phone": r"[0-9]\)?[\x20./-]{1,2}[0-9]{2,4}[\x20./-][0-9]{3}|(?<![0-9+])00[1-9][0-9]"}
+MORE_HAS = {"email": "at) at] at} at @", "ip": ": .] .) dot]", "card": "", "phone": ""}
 BEFORE, AFTER = 40, 12
 #: Words before or after a span that speak for a kind of personal data.
 CONTEXT = {
@@ -45,6 +59,7 @@ CONTEXT = {
 }
 FEATURES = ("kind_email", "kind_ip", "kind_card", "kind_phone", "n_chars", "n_digits", "n_groups", "n_seps", "n_sep_kinds", "parens", "luhn", "context", "number_word", "touches_word", "date_like", "hex_letters", "longest_group")
 SPAN = "array<struct<start:int,end:int,text:string>>"
+SCORED = "array<struct<order:struct<score:double,at:int,to:int,kind:int>,rank:int,start:int,end:int>>"
 
 
 def spans_of(text: Column, pattern: str) -> Column:
@@ -125,32 +140,42 @@ def margin(fs: list[Column], trees: list[dict]) -> Column:
     return reduce(lambda a, b: a + b, [walk(t["node"]) * F.lit(float(t["w"])) for t in trees], F.lit(0.0))
 
 
-def more_spans(text: Column, kind: str, fitted: dict) -> Column:
-    """Candidates of a kind whose boosted score reaches the kind's calibrated threshold."""
+def candidates(text: Column, kind: str, rank: int, fitted: dict) -> Column:
+    """Candidates of a kind, from all its generators, whose boosted score reaches the kind's calibrated threshold.
+
+    ``order`` sorts them: by falling score above the threshold, then place, then kind.
+    """
 
-    def good(s: Column) -> Column:
+    def scored(s: Column) -> Column:
         before = F.substring(text, F.greatest(s["start"] - BEFORE, F.lit(0)) + 1, F.least(s["start"], F.lit(BEFORE)))
         after = F.substring(text, s["end"] + 1, F.lit(AFTER))
-        return margin(features(kind, s["text"], before, after), fitted["trees"]) >= F.lit(float(fitted["thresholds"][kind]))
+        score = margin(features(kind, s["text"], before, after), fitted["trees"]) - F.lit(float(fitted["thresholds"][kind]))
+        return F.struct(F.struct((-score).alias("score"), s["start"].alias("at"), s["end"].alias("to"), F.lit(rank).alias("kind")).alias("order"), F.lit(rank).alias("rank"), s["start"].alias("start"), s["end"].alias("end"))
 
-    return F.filter(guarded(text, MORE_HAS[kind], MORE_HINT[kind], spans_of(text, MORE[kind])), good)
+    found = F.array_distinct(F.concat(*[spans_of(text, g) for g in MORE[kind]]))
+    return F.filter(F.transform(guarded(text, MORE_HAS[kind], MORE_HINT[kind], found), scored), lambda s: s["order"]["score"] <= 0)
 
 
-def find_spans(df: DataFrame, text: str = "text", fitted: dict | None = None) -> DataFrame:
-    """Adds ``pii_base`` and ``pii_spans``: arrays of struct<rank, kind, start, end>, by kind as listed, then start.
+def find_spans(df: DataFrame, text: str = "text", fitted: dict | None = None, base: str = "pii_base", spans: str = "pii_spans") -> DataFrame:
+    """Adds ``base`` and ``spans``: arrays of struct<rank, kind, start, end>, by kind as listed, then start (clashing columns are replaced).
 
-    Bounds are code points, end exclusive; a null text counts as empty. An added candidate that overlaps a base
-    span of any kind, or an added one of an earlier kind, gives way to it. Rows, repeats and other columns stay.
+    Bounds are code points, end exclusive; a null text counts as empty. Added candidates may overlap, within a kind or
+    across kinds; one goes if it overlaps a base span or another candidate with a higher score (equal scores: the one
+    that begins first, then of the earlier kind). Rows, repeats and other columns stay.
     """
     fitted = fitted or model()
     t = F.coalesce(F.col(text), F.lit(""))
-    tag = lambda spans, i: F.transform(spans, lambda s: F.struct(F.lit(i).alias("rank"), F.lit(KINDS[i]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    out = df.withColumn("pii_base", F.concat(*[tag(base_spans(t, k), i) for i, k in enumerate(KINDS)]))
-    clash = lambda s, many: F.exists(many, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    taken = out.withColumn("__more", F.col("pii_base"))
-    for i, k in enumerate(KINDS):
-        taken = taken.withColumn("__more", F.concat("__more", tag(F.filter(more_spans(t, k, fitted), lambda s: ~clash(s, F.col("__more"))), i)))
-    return taken.withColumn("pii_spans", F.array_sort("__more")).drop("__more")
+    tag = lambda found, i: F.transform(found, lambda s: F.struct(F.lit(i).alias("rank"), F.lit(KINDS[i]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    out = df.withColumn(base, F.concat(*[tag(base_spans(t, k), i) for i, k in enumerate(KINDS)]))
+    more = fresh(out, "more")
+    out = out.withColumn(more, F.concat(*[candidates(t, k, i, fitted) for i, k in enumerate(KINDS)]))
+    clash = lambda s, other: (other["start"] < s["end"]) & (s["start"] < other["end"])
+    free = F.filter(more, lambda s: ~F.exists(base, lambda b: clash(s, b)))
+    # highest scores first; each stays that overlaps none that stays before it
+    best = F.array_sort(free, lambda a, b: F.when(a["order"] < b["order"], -1).when(a["order"] > b["order"], 1).otherwise(0))
+    kept = F.aggregate(best, F.array().cast(SCORED), lambda acc, s: F.when(F.exists(acc, lambda k: clash(s, k)), acc).otherwise(F.concat(acc, F.array(s))))
+    added = F.transform(F.when(F.size(more) > 0, kept).otherwise(F.array().cast(SCORED)), lambda s: F.struct(s["rank"], F.element_at(F.array(*map(F.lit, KINDS)), s["rank"] + 1).alias("kind"), s["start"], s["end"]))
+    return out.withColumn(spans, F.array_sort(F.concat(base, added))).drop(more)
 
 
 def as_text(spans: Column) -> Column:
@@ -162,8 +187,10 @@ def redact(df: DataFrame, text: str = "text", fitted: dict | None = None) -> Dat
 
     A null text stays null; rows and other columns stay.
     """
-    found = find_spans(df, text, fitted)
-    by_place = F.array_sort(F.transform("pii_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    base = fresh(df, "pii_base")
+    spans = fresh(df, "pii_spans")
+    found = find_spans(df, text, fitted, base, spans)
+    by_place = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -171,4 +198,4 @@ def redact(df: DataFrame, text: str = "text", fitted: dict | None = None) -> Dat
         return F.when(s["start"] >= acc["at"], fresh).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
 
     done = F.aggregate(by_place, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text)))))
-    return found.withColumn(text, F.when(F.size("pii_spans") > 0, done).otherwise(F.col(text))).drop("pii_base", "pii_spans")
+    return found.withColumn(text, F.when(F.size(spans) > 0, done).otherwise(F.col(text))).drop(base, spans)

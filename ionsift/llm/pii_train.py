@@ -1,7 +1,7 @@
 """Fits the boosted trees of ``pii.py`` with Spark ML: ``python -m ionsift.llm.pii_train``.
 
 The labelled candidates are synthetic (``PER_KIND`` of each kind and label, seeded); four fifths fit the trees, the
-rest calibrates each kind's threshold: a little over the highest score of a held-out negative, 0.5 at least.
+rest calibrates each kind's threshold: the lowest one above which the share of positives is ``PRECISION``, 0 at least.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ionsift.llm import pii
 
-PER_KIND, SEED, DEPTH, ROUNDS, STEP = 400, 7, 4, 24, 0.3
+PER_KIND, SEED, DEPTH, ROUNDS, STEP, PRECISION = 400, 7, 4, 24, 0.3, 0.98
 
 
 def candidates(seed: int = SEED, n: int = PER_KIND) -> list[tuple[str, str, str, str, int]]:
@@ -39,25 +39,41 @@ def candidates(seed: int = SEED, n: int = PER_KIND) -> list[tuple[str, str, str,
         if kind == "email":
             o, c = r.choice(["()", "[]", "{}"])
             dot = r.choice([f" {o}dot{c} ", f"{o}dot{c}", "."])
-            return f"{word()}{r.choice([' ', ''])}{o}at{c}{r.choice([' ', ''])}{word()}{dot}{r.choice(['com', 'org', 'net', 'de', 'fr'])}"
+            top = r.choice(["com", "org", "net", "de", "fr", "io", "co.uk", "info"])
+            if r.random() < 0.3:
+                return f"{word()}{r.choice([' @ ', ' @', '@ '])}{word()}{r.choice(['.', ' . '])}{top}"
+            if r.random() < 0.2:
+                return f"{word()} at {word()} dot {top}"
+            return f"{word()}{r.choice([' ', ''])}{o}at{c}{r.choice([' ', ''])}{word()}{dot}{top}"
         if kind == "ip":
-            return ":".join(f"{r.getrandbits(16):x}" for _ in range(8))
+            if r.random() < 0.4:
+                return r.choice(["[.]", "(.)", "[dot]", " [.] "]).join(str(r.randint(0, 255)) for _ in range(4))
+            parts = [f"{r.getrandbits(16):x}" for _ in range(8)]
+            if r.random() < 0.4:
+                b = r.randint(1, 4)
+                parts[b : b + r.randint(1, 3)] = [""]
+            return ":".join(parts)
         if kind == "card":
+            if r.random() < 0.25:
+                x, s = check(r.choice(["34", "37"]) + num(12)), r.choice(["  ", ".", "/", " - "])
+                return s.join((x[:4], x[4:10], x[10:]))
             x, s = check(num(15)), r.choice(["  ", ".", "/", " - "])
             return s.join((x[:4], x[4:8], x[8:12], x[12:]))
         s = r.choice(["-", ".", " "])
+        if r.random() < 0.25:
+            return f"00{r.randint(1, 99)}{s}{num(3)}{s}{num(4)}{s}{num(3)}"
         return r.choice([f"({num(3)}) {num(3)}{s}{num(4)}", f"{num(3)}{s}{num(3)}{s}{num(4)}", f"0{num(2)}{s}{num(4)}{s}{num(4)}"])
 
     def negative(kind: str) -> str:
         if kind == "email":
-            return f"{word()} at {word()}{r.choice(['. ', '.', ' dot '])}{word()}"
+            return r.choice([f"{word()} at {word()}{r.choice(['. ', '.'])}{word()}", f"{num(1)} @ {num(1)}.{num(2)}", f"{word()} @ {num(2)}.{num(2)}", f"{word()} at {word()} dot {word()}"])
         if kind == "ip":
-            return r.choice([f"{num(2)}:{num(2)}:{num(2)}:{num(2)}", f"{num(1)}::::", f"{num(2)}:{num(2)}:{num(2)}:"])
+            return r.choice([f"{num(2)}:{num(2)}:{num(2)}:{num(2)}", f"{num(1)}::::", f"{num(2)}:{num(2)}:{num(2)}:", "[.]".join(str(r.randint(256, 999)) for _ in range(4)), f"{num(2)}:{num(2)}:{num(2)}:{num(3)}"])
         if kind == "card":
             s = r.choice([" ", "-", ".", "/"])
-            return s.join((num(4), num(4), num(4), num(r.randint(1, 7))))
+            return r.choice([s.join((num(4), num(4), num(4), num(r.randint(1, 7)))), s.join((f"3{r.choice('47')}{num(2)}", num(6), num(5)))])
         s = r.choice(["-", ".", "/", " "])
-        return r.choice([f"{r.randint(1900, 2030)}{s}{num(2)}{s}{num(3)}", f"{num(2)}{s}{num(2)}{s}{r.randint(1900, 2030)}", f"{num(2)} {num(3)} {num(3)}", f"{num(2)} {num(4)} {num(5)}", f"{num(3)}.{num(3)}.{num(3)}"])
+        return r.choice([f"{r.randint(1900, 2030)}{s}{num(2)}{s}{num(3)}", f"{num(2)}{s}{num(2)}{s}{r.randint(1900, 2030)}", f"{num(2)} {num(3)} {num(3)}", f"{num(2)} {num(4)} {num(5)}", f"{num(3)}.{num(3)}.{num(3)}", f"00{r.randint(1, 9)}{num(9)}"])
 
     rows = []
     for kind in pii.KINDS:
@@ -102,8 +118,18 @@ def fit(spark: SparkSession) -> dict:
     made = GBTClassifier(maxDepth=DEPTH, maxIter=ROUNDS, stepSize=STEP, seed=SEED).fit(featured(spark, kept).select("label", array_to_vector("fs").alias("features")).coalesce(1))
     trees = [{"w": w, "node": tree(t.toDebugString)} for t, w in zip(made.trees, made.treeWeights, strict=True)]
     scored = featured(spark, held).withColumn("m", pii.margin([F.col("fs")[i] for i in range(len(pii.FEATURES))], trees))
-    top = {r["kind"]: r for r in scored.groupBy("kind").agg(F.max(F.when(F.col("label") == 0, F.col("m"))).alias("no"), F.max("m").alias("yes")).collect()}
-    return {"features": list(pii.FEATURES), "trees": trees, "thresholds": {k: max(0.5, top[k]["no"] + 0.05 * (top[k]["yes"] - top[k]["no"])) for k in pii.KINDS}}
+    rows = scored.select("kind", "label", "m").collect()
+    return {"features": list(pii.FEATURES), "trees": trees, "thresholds": {k: threshold([(r.m, r.label) for r in rows if r.kind == k]) for k in pii.KINDS}}
+
+
+def threshold(scored: list[tuple[float, float]]) -> float:
+    best = max(m for m, _ in scored)
+    right = 0.0
+    for i, (m, label) in enumerate(sorted(scored, reverse=True), 1):
+        right += label
+        if label and right >= PRECISION * i:
+            best = m
+    return max(0.0, best)
 
 
 if __name__ == "__main__":
