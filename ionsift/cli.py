@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import time
+import warnings
 from dataclasses import asdict
 
 from pyspark.sql import SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import SparkSession
 from ionsift import model
 from ionsift.model import Calibration, Geometry, Plan
 from ionsift.operators import gates, stats
+from ionsift.plans.context import Control
 from ionsift.plans.pipeline import denoise, summary
 from ionsift.sources import tdf
 
@@ -27,7 +29,7 @@ def parse(argv: list[str]) -> argparse.Namespace:
             p.add_argument(flag, dest=key, action="store_true", default=None)
             p.add_argument("--no-" + key.replace("_", "-"), dest=key, action="store_false")
         else:
-            p.add_argument(flag, dest=key, type=kind)
+            p.add_argument(flag, dest=key, type=kind, help="accepted for old settings; Spark's master decides" if key == "threads" else None)
     p.add_argument("--calibration", type=float, nargs=4, metavar=("A", "B", "C", "D"), help="mz = (A + B tof)^2, 1/K0 = C + D scan")
     p.add_argument("--preset", choices=["auto", *model.PRESETS])
     p.add_argument("--dry-run", action="store_true")
@@ -63,7 +65,13 @@ def report(a: argparse.Namespace, plan: Plan, acquisition: str, numbers: dict, s
     }
 
 
-def run(spark: SparkSession, a: argparse.Namespace) -> dict:
+def run(spark: SparkSession, a: argparse.Namespace, control: Control | None = None) -> dict:
+    """The whole command. ``control`` reports progress and can cancel; a cancelled run leaves no output behind."""
+    with control or Control(spark):
+        return _run(spark, a)
+
+
+def _run(spark: SparkSession, a: argparse.Namespace) -> dict:
     began = time.time()
     settings = model.load_settings(a.config) if a.config else {}
     flags = {k: getattr(a, k) for k in model.KIND}
@@ -73,18 +81,26 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
         flags = {**model.preset_gates(a.preset, kind), **{k: v for k, v in flags.items() if v is not None}}
     calibration = Calibration(*a.calibration) if a.calibration else None
     ppm = flags.get("mz_ppm") or settings.get("mz_ppm")
-    if ppm is not None and calibration:
+    if ppm is not None and not calibration:
+        raise ValueError("a tolerance in ppm needs --calibration")
+    if ppm is not None:
         flags["mz_half_width"] = model.tof_half_width(ppm, calibration, flags.get("mz_ppm_ref") or settings.get("mz_ppm_ref"), tdf.read_acquired_mz(a.input))
     plan = model.resolve(flags, settings)
     if (plan.crop.mz_min, plan.crop.mz_max, plan.crop.im_min, plan.crop.im_max) != (None,) * 4 and not calibration:
         raise ValueError("m/z and mobility bounds need --calibration")
+    segments = tdf.calibration_segments(a.input)
+    if max(segments) > 1 and (plan.stages.dia_ms1 or plan.stages.ms1_polygon):
+        warnings.warn(f"the run has {segments[0]} m/z and {segments[1]} mobility calibrations; gates use one for all frames and may be slightly off on others", stacklevel=2)
     sample = None if a.sample is None else (a.sample, a.sample_seed)
     points = tdf.read_points(spark, a.input)
     kept = denoise(points, frames, plan, geometry(spark, a.input, calibration), sample=sample)
-    numbers = summary(points, kept, frames, plan, sample).first().asDict()
-    if not a.dry_run:
+    if a.dry_run:
+        numbers = summary(points, kept, frames, plan, sample).first().asDict()
+    else:
         target = f"{a.input.rstrip('/')}.new" if a.in_place else a.output
         tdf.write_run(kept, frames, a.input, target, a.force or a.in_place)
+        # what was kept is read back, not computed again
+        numbers = summary(points, tdf.read_points(spark, target), frames, plan).first().asDict()
         if a.in_place:
             tdf.replace_in_place(a.input.rstrip("/"), target)
     made = report(a, plan, kind, numbers, time.time() - began)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ionsift.model import MOST, BoxCentroid, Watershed
 
+#: Groups that the watershed makes in a frame, at most; it stops there, and the frame's fainter points are dropped.
 MAX_GROUPS = 100_000
 AROUND = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
 
@@ -94,7 +95,10 @@ def _centroids(grouped: DataFrame, least: int, drop_zero: bool) -> DataFrame:
 
 
 def watershed(points: DataFrame, p: Watershed = Watershed(), max_groups: int = MAX_GROUPS) -> DataFrame:
-    """``frame_id, scan, tof, intensity``: intensity-weighted means of watershed groups; those on one cell are summed."""
+    """``frame_id, scan, tof, intensity``: intensity-weighted means of watershed groups; those on one cell are summed.
+
+    A frame with ``max_groups`` groups is finished: its remaining, fainter points are dropped.
+    """
     return _centroids(_grouped(points, lambda pdf: watershed_groups(pdf, p, max_groups)), p.min_centroid_total, False)
 
 

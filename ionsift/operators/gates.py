@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ionsift.functions.scalars import mz_to_tof, scan_to_im
 from ionsift.model import Calibration, Crop, Pads
 
-#: A gate table has a few rows for each scan; up to so many scans it is broadcast.
-MOST_SCANS = 100_000
+#: Rows of a gate table that are broadcast, at most; they are counted.
+MOST_ROWS = 500_000
 
 
 def merge_intervals(df: DataFrame, by: tuple[str, ...], begin: str = "scan_begin", end: str = "scan_end") -> DataFrame:
@@ -47,8 +47,8 @@ def in_window(points: DataFrame, intervals: DataFrame, pad: int = 0) -> DataFram
     return points.join(listed, "frame_id", "left").where(F.col("__w").isNull() | inside).select(*points.columns)
 
 
-def _within(points: DataFrame, gate: DataFrame, num_scans: int) -> DataFrame:
-    g = (F.broadcast(gate) if num_scans <= MOST_SCANS else gate).alias("g")
+def _within(points: DataFrame, gate: DataFrame) -> DataFrame:
+    g = (F.broadcast(gate) if gate.limit(MOST_ROWS + 1).count() <= MOST_ROWS else gate).alias("g")
     return points.alias("p").join(g, (F.col("p.scan") == F.col("g.scan")) & F.col("p.tof").between(F.col("g.tof_lo"), F.col("g.tof_hi")), "left_semi")
 
 
@@ -67,7 +67,7 @@ def box_gate_table(boxes: DataFrame, num_scans: int, c: Calibration, pads: Pads
 
 def dia_ms1_gate(points: DataFrame, boxes: DataFrame | None, num_scans: int, c: Calibration, pads: Pads = Pads()) -> DataFrame:
     """MS1 points inside any padded isolation box."""
-    return points if boxes is None or num_scans < 1 else _within(points, box_gate_table(boxes, num_scans, c, pads), num_scans)
+    return points if boxes is None or num_scans < 1 else _within(points, box_gate_table(boxes, num_scans, c, pads))
 
 
 def polygon_gate_table(spark: SparkSession, ring: list[tuple[float, float]], num_scans: int, c: Calibration, pads: Pads = Pads()) -> DataFrame | None:
@@ -93,7 +93,7 @@ def polygon_gate_table(spark: SparkSession, ring: list[tuple[float, float]], num
 def polygon_gate(points: DataFrame, ring: list[tuple[float, float]], num_scans: int, c: Calibration, pads: Pads = Pads()) -> DataFrame:
     """MS1 points inside the selection polygon; a ring that covers no scan gates nothing."""
     gate = polygon_gate_table(points.sparkSession, ring, num_scans, c, pads)
-    return points if gate is None or gate.isEmpty() else _within(points, gate, num_scans)
+    return points if gate is None or gate.isEmpty() else _within(points, gate)
 
 
 def crop_bounds(crop: Crop, num_scans: int, c: Calibration | None) -> dict[str, int]:

@@ -10,17 +10,18 @@ import os
 import shutil
 import sqlite3
 import struct
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ionsift.model import FRAMES, POINTS
-from ionsift.operators.stats import frame_stats
 
 #: Bytes of a record's header: its length and its scan count, little-endian.
 HEADER = 8
@@ -85,14 +86,18 @@ def decode_record(record: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarra
     return scans, scan, total - np.repeat(before, sizes) - 1, pairs[:, 1]
 
 
+RECORDS = "frame_id long, record binary, num_peaks long, max_intensity long, summed_intensities long"
+
+
 def encode(points: DataFrame, frames: DataFrame) -> DataFrame:
-    """``frame_id, record`` of every frame, empty ones too."""
+    """``frame_id, record`` of every frame, empty ones too, with the point count and the largest and summed intensity."""
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        some = pdf.dropna(subset=["scan"])
-        return pd.DataFrame({"frame_id": [key[0]], "record": [encode_record(int(pdf["num_scans"].iloc[0]), *(some[c].to_numpy(np.int64) for c in ("scan", "tof", "intensity")))]})
+        scan, tof, intensity = (pdf.dropna(subset=["scan"])[c].to_numpy(np.int64) for c in ("scan", "tof", "intensity"))
+        record = encode_record(int(pdf["num_scans"].iloc[0]), scan, tof, intensity)
+        return pd.DataFrame({"frame_id": [key[0]], "record": [record], "num_peaks": [len(scan)], "max_intensity": [int(intensity.max(initial=0))], "summed_intensities": [int(intensity.sum())]})
 
     rows = frames.select("frame_id", "num_scans").join(points.select("frame_id", "scan", "tof", "intensity"), "frame_id", "left")
-    return rows.groupBy("frame_id").applyInPandas(run, "frame_id long, record binary")
+    return rows.groupBy("frame_id").applyInPandas(run, RECORDS)
 
 
 def decode(records: DataFrame) -> DataFrame:
@@ -181,15 +186,23 @@ class TdfReader(DataSourceReader):
         rows = _rows(self.path, "SELECT Id, TimsId FROM Frames WHERE NumPeaks > 0 ORDER BY Id")
         return [_Frames(rows[i : i + self.chunk]) for i in range(0, len(rows), self.chunk)] or [_Frames([])]
 
-    def read(self, partition: _Frames) -> Iterator[tuple]:
-        with open(f"{self.path}/analysis.tdf_bin", "rb") as f:
-            for frame, at in partition.frames:
-                f.seek(at)
-                head = f.read(HEADER)
-                if len(head) < HEADER:
-                    raise RecordError("short record")
-                _, scan, tof, intensity = decode_record(head + f.read(struct.unpack("<II", head)[0] - HEADER))
-                yield from zip([frame] * len(scan), range(1, len(scan) + 1), scan.tolist(), tof.tolist(), intensity.tolist())
+    def read(self, partition: _Frames) -> Iterator[pa.RecordBatch]:
+        names = ["frame_id", "point_id", "scan", "tof", "intensity"]
+        for frame, record in _records(self.path, partition.frames):
+            _, scan, tof, intensity = decode_record(record)
+            n = len(scan)
+            yield pa.record_batch([pa.array(np.full(n, frame)), pa.array(np.arange(1, n + 1)), pa.array(scan.astype(np.int32)), pa.array(tof), pa.array(intensity)], names=names)
+
+
+def _records(path: str, frames: list[tuple[int, int]]) -> Iterator[tuple[int, bytes]]:
+    """The raw record of each (frame, place in the binary file)."""
+    with open(f"{path}/analysis.tdf_bin", "rb") as f:
+        for frame, at in frames:
+            f.seek(at)
+            head = f.read(HEADER)
+            if len(head) < HEADER:
+                raise RecordError("short record")
+            yield frame, head + f.read(max(0, struct.unpack("<II", head)[0] - HEADER))
 
 
 class TdfSource(DataSource):
@@ -216,44 +229,65 @@ def header_length(path: str) -> int:
     return max(0, _rows(path, "SELECT coalesce(min(TimsId), 0) FROM Frames")[0][0])
 
 
+def _staging(spark: SparkSession, target: str) -> str:
+    """A new folder for the records: in the cluster's checkpoint folder if it names one, else beside the run on its shared storage."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return f"{named.rstrip('/')}/records-{uuid.uuid4().hex}" if named else f"file://{os.path.abspath(target)}.records-{uuid.uuid4().hex}"
+
+
 def write_run(points: DataFrame, frames: DataFrame, source: str, target: str, force: bool = False) -> None:
     """Writes a run folder: the source's files and header, new records in frame order, updated metadata.
 
-    Records go to a table first; their lengths give the offsets, and each task writes its records at theirs, so a task
-    that runs twice writes the same bytes. Only one row of numbers per frame reaches the driver.
+    Records go to a table first, which is the only time that ``points`` are computed; their lengths give the offsets, and
+    each task writes its records at theirs, so a task that runs twice writes the same bytes. Only one row of numbers per
+    frame reaches the driver. The source is checked before anything is touched, and the new folder takes the place of an
+    old ``target`` only when it is complete.
     """
     spark = points.sparkSession
-    if os.path.exists(target):
-        if not force:
-            raise FileExistsError(target)
-        shutil.rmtree(target)
     _connect(source).close()
-    shutil.copytree(source, target, ignore=lambda d, names: ["analysis.tdf_bin"] if os.path.samefile(d, source) else [])
-    staged = f"{target}/.records"
-    encode(points, frames).write.parquet(f"file://{staged}")
-    records = spark.read.parquet(f"file://{staged}")
-    sizes = records.select("frame_id", F.length("record").alias("n")).orderBy("frame_id").toPandas()
+    if os.path.realpath(source) == os.path.realpath(target):
+        raise ValueError("a run is not written over itself")
+    if os.path.exists(target) and not force:
+        raise FileExistsError(target)
+    made, staged = f"{target.rstrip('/')}.part-{uuid.uuid4().hex}", _staging(spark, target)
+    try:
+        shutil.copytree(source, made, ignore=lambda d, names: ["analysis.tdf_bin"] if os.path.samefile(d, source) else [])
+        _write_records(points, frames, source, made, staged)
+        if os.path.exists(target):
+            replace_in_place(target.rstrip("/"), made)
+        else:
+            os.rename(made, target)
+    finally:
+        shutil.rmtree(made, ignore_errors=True)
+        jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
+        jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def _write_records(points: DataFrame, frames: DataFrame, source: str, made: str, staged: str) -> None:
+    spark = points.sparkSession
+    encode(points, frames).write.parquet(staged)
+    records = spark.read.schema(RECORDS).parquet(staged)
+    rows = records.select("frame_id", F.length("record").alias("n"), "num_peaks", "max_intensity", "summed_intensities").orderBy("frame_id").toPandas()
     head = header_length(source)
-    begin = head + np.cumsum(sizes["n"].to_numpy()) - sizes["n"].to_numpy()
-    with open(f"{source}/analysis.tdf_bin", "rb") as f, open(f"{target}/analysis.tdf_bin", "wb") as g:
+    rows["at"] = head + rows["n"].cumsum() - rows["n"]
+    with open(f"{source}/analysis.tdf_bin", "rb") as f, open(f"{made}/analysis.tdf_bin", "wb") as g:
         g.write(f.read(head))
-        g.truncate(head + int(sizes["n"].sum()))
-    places = spark.createDataFrame(pd.DataFrame({"frame_id": sizes["frame_id"], "at": begin}), "frame_id long, at long")
+        g.truncate(head + int(rows["n"].sum()))
+    places = spark.createDataFrame(rows[["frame_id", "at"]].astype(np.int64), "frame_id long, at long")
 
-    def put(rows) -> None:
-        with open(f"{target}/analysis.tdf_bin", "r+b") as g:
-            for r in rows:
+    def put(some) -> None:
+        with open(f"{made}/analysis.tdf_bin", "r+b") as g:
+            for r in some:
                 g.seek(r.at)
                 g.write(bytes(r.record))
 
-    records.join(places, "frame_id").foreachPartition(put)
-    stats = frame_stats(points, frames).join(places, "frame_id").collect()
-    db = sqlite3.connect(f"{target}/analysis.tdf")
+    records.select("frame_id", "record").join(places, "frame_id").foreachPartition(put)
+    db = sqlite3.connect(f"{made}/analysis.tdf")
     with db:
-        db.executemany("UPDATE Frames SET TimsId = ?, NumPeaks = ?, MaxIntensity = ?, SummedIntensities = ? WHERE Id = ?", [(r.at, r.num_peaks, r.max_intensity, r.summed_intensities, r.frame_id) for r in stats])
+        numbers = rows[["at", "num_peaks", "max_intensity", "summed_intensities", "frame_id"]].astype(np.int64)
+        db.executemany("UPDATE Frames SET TimsId = ?, NumPeaks = ?, MaxIntensity = ?, SummedIntensities = ? WHERE Id = ?", [tuple(map(int, r)) for r in numbers.itertuples(index=False)])
         db.execute("UPDATE GlobalMetadata SET Value = '2' WHERE Key = 'TimsCompressionType'")
     db.close()
-    shutil.rmtree(staged)
 
 
 def replace_in_place(source: str, made: str) -> None:
@@ -274,6 +308,38 @@ def validate(spark: SparkSession, path: str) -> DataFrame:
     return read_frames(spark, path).select("frame_id", "num_peaks").join(n, "frame_id", "full").withColumn("read", F.coalesce("read", F.lit(0))).where("num_peaks is distinct from read")
 
 
+def cross_check(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """``frame_id, problem`` of frames whose raw record at ``TimsId`` isn't what the metadata and the point source say.
+
+    Each record is read by itself and decoded; its scan count, its number of points and, sorted by scan and TOF, the
+    points themselves are held against the ``Frames`` table and ``read_points``. No rows: codec and file agree.
+    """
+    rows = _rows(path, "SELECT Id, TimsId, NumScans, NumPeaks FROM Frames WHERE NumPeaks > 0 ORDER BY Id")[:limit]
+    wanted = spark.createDataFrame(rows, "frame_id long, at long, num_scans int, num_peaks long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, at = (batch.column(c).to_pylist() for c in ("frame_id", "at"))
+            out = []
+            for frame, record in _records(path, list(zip(ids, at))):
+                try:
+                    scans, scan, tof, intensity = decode_record(record)
+                    out.append((frame, scans, [{"scan": a, "tof": b, "intensity": c} for a, b, c in sorted(zip(scan.tolist(), tof.tolist(), intensity.tolist()))], None))
+                except RecordError as e:
+                    out.append((frame, None, None, str(e)))
+            yield pa.Table.from_pylist([dict(zip(("frame_id", "scans", "raw", "error"), x)) for x in out], schema=pa.schema([("frame_id", pa.int64()), ("scans", pa.int32()), ("raw", pa.list_(pa.struct([("scan", pa.int32()), ("tof", pa.int64()), ("intensity", pa.int64())]))), ("error", pa.string())])).combine_chunks().to_batches()[0]
+
+    point = "struct<scan:int,tof:bigint,intensity:bigint>"
+    raw = wanted.select("frame_id", "at").mapInArrow(run, f"frame_id long, scans int, raw array<{point}>, error string")
+    read = read_points(spark, path).groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("scan", "tof", "intensity"))).alias("points"))
+    both = wanted.join(raw, "frame_id").join(read, "frame_id", "left")
+    problem = (
+        F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("scans") != F.col("num_scans"), F.lit("scan count"))
+        .when(F.size("raw") != F.col("num_peaks"), F.lit("point count")).when(~F.col("raw").eqNullSafe(F.col("points")), F.lit("points"))
+    )
+    return both.select("frame_id", problem.alias("problem")).where("problem is not null")
+
+
 def dump(points: DataFrame, calibration, path: str) -> None:
     """CSV of points: m/z, mobility, intensity, scan, TOF."""
     from ionsift.functions.scalars import scan_to_im, tof_to_mz

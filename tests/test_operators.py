@@ -154,7 +154,29 @@ def brute_watershed(points, p):
         elif v >= p.min_seed_intensity:
             groups.append([(s, t, v)])
             placed.append((i, len(groups) - 1))
-    return sum(v for g in groups for *_, v in g), len(groups)
+    return group_cells(groups)
+
+
+def brute_box(points, p):
+    order = sorted(range(len(points)), key=lambda i: (-points[i][2], points[i][0], points[i][1]))
+    groups, free = [], list(order)
+    while free:
+        s, t, _ = points[free[0]]
+        take = [i for i in free if abs(points[i][0] - s) <= p.scan_half and abs(points[i][1] - t) <= p.mz_idx_half]
+        groups.append([points[i] for i in take])
+        free = [i for i in free if i not in set(take)]
+    return group_cells(groups)
+
+
+def group_cells(groups):
+    """Rounded intensity-weighted means of groups; those on one cell are summed."""
+    out = {}
+    for g in groups:
+        total = sum(v for *_, v in g)
+        if total:
+            at = tuple((2 * sum(x[k] * x[2] for x in g) + total) // (2 * total) for k in (0, 1))
+            out[at] = out.get(at, 0) + total
+    return sorted((*k, v) for k, v in out.items())
 
 
 def test_watershed(spark):
@@ -167,9 +189,7 @@ def test_watershed(spark):
     assert run(block, Watershed()) == [(50, 1000, 2500)] and run([(0, 0, 0)]) == [(0, 0, 0)]
     points = [x for x in random_points(7) if x[2]]
     for p in (Watershed(2, 2, 0, 0, 3), Watershed(3, 1, 40, 0, 2)):
-        total, n = brute_watershed(points, p)
-        got = run(points, p)
-        assert sum(v for *_, v in got) == total and len(got) <= n
+        assert sorted(run(points, p)) == brute_watershed(points, p)
 
 
 def test_box(spark):
@@ -178,6 +198,18 @@ def test_box(spark):
     streak = run([(s, 100, 10) for s in range(15)])
     assert 3 <= len(streak) < 15 and sum(c[2] for c in streak) == 150 and {c[1] for c in streak} == {100}
     assert run([(10, 10, 5), (50, 500, 100)], BoxCentroid(2, 2, 10)) == [(50, 500, 100)]
+    points = [x for x in random_points(8) if x[2]]
+    for p in (BoxCentroid(2, 2, 0), BoxCentroid(1, 3, 0)):
+        assert sorted(run(points, p)) == brute_box(points, p)
+
+
+def test_most_groups():
+    """After the last group that a frame may have, its fainter points are dropped, as documented."""
+    import pandas as pd
+
+    points = pd.DataFrame([(1, i, 10 * i, 50, 100 - i) for i in range(6)] + [(1, 9, 1, 50, 5)], columns=["frame_id", "point_id", "scan", "tof", "intensity"])
+    got = centroid.watershed_groups(points, Watershed(2, 1, 0, 0, 10), 3)
+    assert got.tolist() == [0, 1, 2, -1, -1, -1, -1]
 
 
 def test_sample(spark):

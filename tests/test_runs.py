@@ -1,13 +1,17 @@
 """Records, run folders, the command line and streams."""
 
+import os
 import sqlite3
 import struct
+import threading
+import time
 
 import numpy as np
 import pytest
 
 from ionsift import cli, model
 from ionsift.model import Plan, Stages, Streak
+from ionsift.plans.context import Cancelled, Control, RunContext
 from ionsift.plans.pipeline import denoise
 from ionsift.sources import tdf
 from ionsift.streaming.frames import denoise_stream
@@ -94,3 +98,108 @@ def test_crop_only_keeps_points(spark):
     frames = spark.createDataFrame([(1, 10, 2, 0, 6.0)], model.FRAMES)
     assert denoise(points, frames, Plan(crop_only=True)).count() == 2
     assert denoise(points, frames, Plan(crop=model.Crop(min_intensity=10), crop_only=True)).count() == 1
+
+
+def points_of(df):
+    return sorted(map(tuple, df.select("frame_id", "scan", "tof", "intensity").collect()))
+
+
+def test_frames_pulled_one_by_one(spark, run_folder, tmp_path):
+    """What a frame gives by itself is what the written run holds of it."""
+    out = str(tmp_path / "out.d")
+    cli.run(spark, cli.parse([run_folder, out]))
+    pulled = RunContext(spark, run_folder)
+    assert len(pulled) == 6 and [pulled.is_ms1(i) for i in range(6)] == [True, False] * 3
+    assert sum((points_of(pulled.process(i)) for i in range(6)), []) == points_of(tdf.read_points(spark, out))
+    summed = RunContext(spark, run_folder, Plan(stages=Stages(frame_half_width=1)))
+    whole = points_of(denoise(tdf.read_points(spark, run_folder), tdf.read_frames(spark, run_folder), summed.plan))
+    assert points_of(summed.process(4)) == [p for p in whole if p[0] == 5] != []
+    with pytest.raises(ValueError):
+        RunContext(spark, run_folder, Plan(crop=model.Crop(rt_max=1.0)))
+
+
+def test_cross_check(spark, run_folder):
+    assert tdf.cross_check(spark, run_folder).count() == 0
+    db = sqlite3.connect(f"{run_folder}/analysis.tdf")
+    with db:
+        db.execute("UPDATE Frames SET NumPeaks = 5 WHERE Id = 2")
+        db.execute("UPDATE Frames SET NumScans = 99 WHERE Id = 4")
+    db.close()
+    assert sorted(map(tuple, tdf.cross_check(spark, run_folder).collect())) == [(2, "point count"), (4, "scan count")]
+
+
+def test_writer_keeps_what_is_there(spark, run_folder, tmp_path):
+    """Neither a bad source nor a failing job costs an existing output, and a run isn't written over itself."""
+    out = tmp_path / "old.d"
+    out.mkdir()
+    (out / "mine").write_text("x")
+    points, frames = tdf.read_points(spark, run_folder), tdf.read_frames(spark, run_folder)
+    with pytest.raises(ValueError):
+        tdf.write_run(points, frames, str(tmp_path / "none.d"), str(out), force=True)
+    with pytest.raises(ValueError):
+        tdf.write_run(points, frames, run_folder, run_folder + "/.", force=True)
+    with pytest.raises(Exception):
+        tdf.write_run(points.selectExpr("frame_id", "scan + 5000 AS scan", "tof", "intensity"), frames, run_folder, str(out), force=True)
+    assert (out / "mine").read_text() == "x" and tdf.validate(spark, run_folder).count() == 0
+    tdf.write_run(points, frames, run_folder, str(out), force=True)
+    assert points_of(tdf.read_points(spark, str(out))) == points_of(points) and not (out / "mine").exists()
+    assert sorted(os.listdir(tmp_path)) == ["old.d", "run.d"]
+
+
+def test_progress_and_cancel(spark, run_folder, tmp_path):
+    seen = []
+    cli.run(spark, cli.parse([run_folder, str(tmp_path / "a.d")]), Control(spark, lambda done, total: seen.append((done, total)), 0.02))
+    assert seen[-1][0] > 0 and all(d <= t for d, t in seen) and [d for d, _ in seen] == sorted(d for d, _ in seen)
+    control = Control(spark)
+    threading.Timer(0.5, control.cancel).start()
+    with pytest.raises(Cancelled), control:
+        spark.range(8, numPartitions=8).rdd.map(lambda x: time.sleep(20)).count()
+    stopped = Control(spark)
+    stopped.cancel()
+    with pytest.raises(Cancelled):
+        cli.run(spark, cli.parse([run_folder, str(tmp_path / "b.d")]), stopped)
+    assert not (tmp_path / "b.d").exists()
+
+
+def test_metadata_readers(spark, run_folder, tmp_path):
+    """Windows of both acquisitions, the polygon, calibration segments, and what the command makes of them."""
+    assert tdf.read_pasef_windows(spark, run_folder).count() == 0 and tdf.read_polygon(run_folder) == []
+    ring = [(200.0, 0.7), (1500.0, 1.0), (1500.0, 1.5), (200.0, 1.1)]
+    db = sqlite3.connect(f"{run_folder}/analysis.tdf")
+    with db:
+        db.execute("CREATE TABLE PasefFrameMsMsInfo (Frame, ScanNumBegin, ScanNumEnd, Precursor)")
+        db.executemany("INSERT INTO PasefFrameMsMsInfo VALUES (?, ?, ?, ?)", [(1, 5, 30, 7), (3, 40, 40, None)])
+        db.execute("CREATE TABLE DiaFrameMsMsInfo (Frame, WindowGroup)")
+        db.executemany("INSERT INTO DiaFrameMsMsInfo VALUES (?, ?)", [(1, 1), (3, 2), (1, 2)])
+        db.execute("CREATE TABLE DiaFrameMsMsWindows (WindowGroup, ScanNumBegin, ScanNumEnd, IsolationMz, IsolationWidth)")
+        db.executemany("INSERT INTO DiaFrameMsMsWindows VALUES (?, ?, ?, ?, ?)", [(1, 0, 20, 400.0, 25.0), (2, 10, 50, 700.0, 25.0)])
+        db.execute("CREATE TABLE PropertyDefinitions (Id, PermanentName)")
+        db.execute("CREATE TABLE GroupProperties (Property, Value)")
+        for k, name in enumerate(("IMS_PolygonFilter_Mass", "IMS_PolygonFilter_Mobility")):
+            db.execute("INSERT INTO PropertyDefinitions VALUES (?, ?)", (k, name))
+            db.execute("INSERT INTO GroupProperties VALUES (?, ?)", (k, struct.pack("<4d", *(p[k] for p in ring))))
+        db.execute("UPDATE Frames SET MzCalibration = 2 WHERE Id = 6")
+    db.close()
+    assert sorted(map(tuple, tdf.read_pasef_windows(spark, run_folder).collect())) == [(1, 5, 30, 7, 0), (3, 40, 40, 0, 1)]
+    info, windows = tdf.read_dia(spark, run_folder)
+    assert sorted(map(tuple, info.collect())) == [(1, 2), (3, 2)] and windows.count() == 2
+    assert tdf.read_polygon(run_folder) == ring and tdf.calibration_segments(run_folder) == (2, 1)
+    with pytest.warns(UserWarning, match="calibrations"):
+        cli.run(spark, cli.parse([run_folder, "--dry-run", "--ms1-polygon", "--calibration", "10", "0.3", "1.6", "-0.01"]))
+    with pytest.raises(ValueError, match="calibration"):
+        cli.run(spark, cli.parse([run_folder, "--dry-run", "--mz-ppm", "10"]))
+
+
+def test_csv(spark, tmp_path):
+    points = spark.createDataFrame([(1, 1, 5, 100, 7)], model.POINTS)
+    tdf.dump(points, model.Calibration(10.0, 0.1, 1.6, -0.01), str(tmp_path / "csv"))
+    lines = {x for f in (tmp_path / "csv").glob("*.csv") for x in f.read_text().splitlines()}
+    assert lines == {"mz,one_over_k0,intensity,scan,tof", "400.00000,1.55000,7,5,100"}
+
+
+def test_whole_msms_frames(spark):
+    """With all frames filtered and no windows known, an MS/MS frame is filtered as a whole."""
+    points = spark.createDataFrame([(1, i, s, 50, 10) for i, s in enumerate(range(10, 18), 1)] + [(1, 99, 60, 5, 1)], model.POINTS)
+    frames = spark.createDataFrame([(1, 100, 9, 9, 6.0)], model.FRAMES)
+    assert denoise(points, frames, Plan()).count() == 9
+    assert denoise(points, frames, Plan(stages=Stages(all_frames=True))).count() == 8
