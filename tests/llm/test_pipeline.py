@@ -55,3 +55,31 @@ def test_pipeline(spark, tmp_path):
         for span in sorted((s.split(":") for s in base(t).split(",") if s), key=lambda s: -int(s[1])):
             t = t[: int(span[1])] + f"[{span[0].upper()}]" + t[int(span[2]) :]
         assert got[i].ids == tokenizer.encode(t or "", add_special_tokens=False).ids
+
+
+def test_stage_edges(spark, tmp_path):
+    """Each stage with null ids and texts, repeated rows, an empty table, and the user's own columns of clashing names."""
+    import corpus_pipeline
+
+    item = " ".join(f"item{i}" for i in range(20))
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [
+        (1, text), (2, text + " tail"), (3, f"x {item} y"), (4, "mail a@b.com now"), (None, "mail a@b.com now"), (5, None), (6, ""), (4, "mail a@b.com now"), (None, None), (None, f"x {item} y"),
+    ]
+    own = "score double, predicted int, held_out boolean, pii_spans string, pii_base string, more int, comp long, doc long, edits int, Score2 int"
+    docs = spark.createDataFrame([(i, t, "en", "s", None, 7.5, 3, None, "mine", "too", 1, 2, 3, 4, 5) for i, t in rows], f"doc_id long, text string, lang string, source string, n_chars long, {own}".replace("Score2", "__more"))
+    spark.createDataFrame([(1, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (None, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    left = {"toxicity": rows, "ngram_join": [r for r in rows if r[0] != 2], "decontaminate": [r for r in rows if r[0] != 3], "pii": [(i, t and t.replace("a@b.com", "[EMAIL]")) for i, t in rows]}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path)).collect()
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        assert empty.count() == 0
+        if name == "bpe":
+            assert len(got) == len(rows) and sorted(r.n_tokens for r in got)[:3] == [0, 0, 0]
+            continue
+        assert empty.columns == docs.columns
+        assert sorted(((r.doc_id, r.text) for r in got), key=key) == sorted(left[name], key=key), name
+        assert {(r.score, r.predicted, r.held_out, r.pii_spans, r.pii_base, r.more, r.comp, r.doc, r.edits, r["__more"]) for r in got} == {(7.5, 3, None, "mine", "too", 1, 2, 3, 4, 5)}
+        assert all(r.n_chars == (len(r.text) if r.text is not None else None) if name == "pii" else r.n_chars is None for r in got)
