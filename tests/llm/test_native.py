@@ -159,7 +159,10 @@ def margin(fs, trees):
             node = node[2] if fs[node[0]] <= node[1] else node[3]
         return node
 
-    return sum(walk(t["node"]) * t["w"] for t in trees)
+    total = 0.0
+    for t in trees:
+        total += walk(t["node"]) * t["w"]
+    return total
 
 
 def test_pii_spans_against_plain_version(spark):
