@@ -98,7 +98,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a * b modulo 2**61 - 1."""
+    """a * b modulo 2**61 - 1; a may be up to twice that."""
     a1, a0, b1, b0 = a >> U(31), a & HALF, b >> U(31), b & HALF
     mid = a1 * b0 + a0 * b1
     x = ((a1 * b1) << U(1)) + (mid >> U(30)) + ((mid & U((1 << 30) - 1)) << U(31)) + a0 * b0
@@ -124,8 +124,8 @@ class Prefix:
     """Prefix polynomial hashes of bytes modulo 2**61 - 1: the hash of any stretch in constant time."""
 
     def __init__(self, data: np.ndarray, base: int = BASE1 % int(PRIME)):
-        power, self.inverse = _power_table(base, len(data) + 1)
-        terms = times(data.astype(U) + U(1), power[: len(data)])
+        self.power, self.inverse = _power_table(base, len(data) + 1)
+        terms = times(data.astype(U) + U(1), self.power[: len(data)])
         # high and low halves are summed apart, so no sum leaves 64 bits
         high, low = np.cumsum(terms >> U(31), dtype=U), np.cumsum(terms & HALF, dtype=U)
         x = times(high % PRIME, np.full(len(high), 1 << 31, U)) + low % PRIME
@@ -133,7 +133,14 @@ class Prefix:
 
     def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         a, b = self.sums[end], self.sums[begin]
-        return times(np.where(a >= b, a - b, a + (PRIME - b)), self.inverse[begin])
+        return times(a + (PRIME - b), self.inverse[begin])
+
+    def same(self, a: np.ndarray, b: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        """Whether the n bytes from a and from b have one hash: the earlier stretch is moved to the later one's powers."""
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        left = times(self.sums[low + n] + (PRIME - self.sums[low]), self.power[high - low])
+        right = self.sums[high + n] + (PRIME - self.sums[high])
+        return left == np.where(right >= PRIME, right - PRIME, right)
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:

@@ -22,21 +22,28 @@ GRAM, SIZE = 16, 50
 ROWS = 1 << 15
 
 
-def common_extension(sums: seeds.Prefix, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of the suffixes at a and b, up to limit, by binary search over hashes."""
-    low, high = np.zeros(len(a), np.int64), limit.astype(np.int64)
-    while (open_ := low < high).any():
-        mid = (low + high + 1) >> 1
-        same = sums.of(a, a + mid) == sums.of(b, b + mid)
-        low = np.where(open_ & same, mid, low)
-        high = np.where(open_ & ~same, mid - 1, high)
+#: Bytes that suffixes are first sorted by as a number.
+HEAD = 8
+
+
+def common_extension(sums: seeds.Prefix, a: np.ndarray, b: np.ndarray, limit: np.ndarray, known: int = 0) -> np.ndarray:
+    """Length of the common prefix of the suffixes at a and b, up to limit, by binary search over hashes; ``known`` are common anyway."""
+    high = limit.astype(np.int64)
+    low = np.minimum(high, known)
+    open_ = np.flatnonzero(low < high)
+    while len(open_):
+        mid = (low[open_] + high[open_] + 1) >> 1
+        same = sums.same(a[open_], b[open_], mid)
+        low[open_] = np.where(same, mid, low[open_])
+        high[open_] = np.where(same, high[open_], mid - 1)
+        open_ = open_[low[open_] < high[open_]]
     return low
 
 
 def _less_equal(data: np.ndarray, sums: seeds.Prefix, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether the suffix at a sorts before the one at b or equals it; each ends with its stretch."""
+    """Whether the suffix at a sorts before the one at b or equals it; each ends with its stretch, and their heads are equal."""
     left = np.minimum(ends[a] - a, ends[b] - b)
-    n = common_extension(sums, a, b, left)
+    n = common_extension(sums, a, b, left, HEAD)
     out = ends[a] - a <= ends[b] - b
     differ = n < left
     out[differ] = data[a[differ] + n[differ]] <= data[b[differ] + n[differ]]
@@ -46,11 +53,11 @@ def _less_equal(data: np.ndarray, sums: seeds.Prefix, ends: np.ndarray, a: np.nd
 def sort_suffixes(data: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The starts ``at`` in suffix order, each suffix running to ``ends`` of its place.
 
-    First by eight bytes as a number; classes of equal numbers then by mergesort, all runs of a width at once, each
-    element placed by binary search in its sibling run.
+    First by ``HEAD`` bytes as a number; classes of equal numbers then by mergesort, all runs of a width at once, each
+    element of a left run placed by binary search in its sibling run.
     """
     head = np.zeros(len(at), np.uint64)
-    for i in range(8):
+    for i in range(HEAD):
         p = at + i
         inside = p < ends[at]
         head = (head << np.uint64(8)) | np.where(inside, data[np.where(inside, p, 0)], 0).astype(np.uint64)
@@ -72,23 +79,24 @@ def sort_suffixes(data: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndar
     width, most = 1, int(length.max())
     while width < most:
         i = np.arange(len(x)) - first
-        run = i // width
-        left = run % 2 == 0
-        other = np.minimum(np.where(left, run + 1, run - 1) * width, length)
-        low, high = other.copy(), np.minimum(other + width, length)
-        while (todo := np.flatnonzero(low < high)).size:
+        is_left = i // width % 2 == 0
+        left = np.flatnonzero(is_left)
+        sibling = (i[left] // width + 1) * width
+        low, high = np.minimum(sibling, length[left]), np.minimum(sibling + width, length[left])
+        begin = low.copy()
+        todo = np.flatnonzero(low < high)
+        while len(todo):
             mid = (low[todo] + high[todo]) >> 1
-            y = x[first[todo] + mid]
-            is_left = left[todo]
-            # a left element passes the right ones that are smaller; a right element passes the left ones not larger
-            a, b = np.where(is_left, x[todo], y), np.where(is_left, y, x[todo])
-            le = _less_equal(data, sums, ends, a, b)
-            passes = np.where(is_left, ~le, le)
+            # an element passes those of its sibling run that are smaller
+            passes = ~_less_equal(data, sums, ends, x[left[todo]], x[first[left[todo]] + mid])
             low[todo] = np.where(passes, mid + 1, low[todo])
             high[todo] = np.where(passes, high[todo], mid)
-        target = first + np.where(left, i + (low - other), i - width + (low - other))
-        merged = np.empty_like(x)
-        merged[target] = x
+            todo = todo[low[todo] < high[todo]]
+        target = first[left] + i[left] + (low - begin)
+        merged, free = np.empty_like(x), np.ones(len(x), bool)
+        merged[target] = x[left]
+        free[target] = False
+        merged[free] = x[~is_left]  # the right runs' elements keep their order
         x = merged
         width *= 2
     out[place] = x
@@ -106,7 +114,7 @@ def shared_windows(data: np.ndarray, bounds: np.ndarray, doc: np.ndarray, size:
     sorted_ = sort_suffixes(data, ends, at)
     sums = seeds.Prefix(data)
     a, b = sorted_[:-1], sorted_[1:]
-    near = common_extension(sums, a, b, np.full(len(a), size)) >= size
+    near = sums.same(a, b, size)
     # the bytes confirm what the hashes say
     hit = np.flatnonzero(near)
     for i in range(0, len(hit), 1 << 16):
