@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionsift.llm import bpe, chat, decontaminate, embedding_dedup, ngram_join, pii, substring_dedup, suffix_dedup, toxicity, url_filter
-from ionsift.llm.common import table
+from ionsift.llm import bpe, chat, decontaminate, embedding_dedup, ngram_join, periodic_runs, pii, substring_dedup, suffix_dedup, toxicity, url_filter
+from ionsift.llm.common import NOT_SPACE, table
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,26 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def planted(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: a tenth of the documents, chosen by crc32(doc_id), repeat a stretch of theirs to the end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    ws = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(NOT_SPACE), 0))
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), ws.alias("ws")).withColumn("n", F.size("ws"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    words = F.transform("ws", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("ws", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.with_runs(planted(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = found.withColumn("best", periodic_runs.strongest(F.col("runs")))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(periodic_runs.as_lines(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
  win AS (SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d)),
@@ -130,6 +150,32 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
+OP11_SQL = r"""
+WITH t AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS s, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ c AS (SELECT doc_id, ws, len(ws) AS n, xor(4294967295, list_reduce(list_prepend(4294967295, flatten([[ord(s[i]), 0, 0, 0, 0, 0, 0, 0] FOR i IN range(1, length(s) + 1)])),
+         lambda x, b: xor(xor(x, b) >> 1, 3988292384 * (xor(x, b) & 1)))) AS h FROM t),
+ a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n ELSE n END AS a FROM c),
+ d AS (SELECT doc_id, n, [ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END] FOR i IN range(0, n)] AS ws FROM (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a)),
+ w AS MATERIALIZED (SELECT doc_id, unnest(range(0, n)) AS i, unnest(ws) AS w FROM d),
+ lag AS (SELECT doc_id, n, unnest(range(1, n // 3 + 1)) AS q FROM d WHERE n >= 24),
+ grid AS (SELECT doc_id, q, q * unnest(range(0, (n - 1) // q - 1)) AS i FROM lag),
+ near AS MATERIALIZED (SELECT g.doc_id, q, g.i, x.w FROM grid g JOIN w x ON x.doc_id = g.doc_id AND x.i = g.i),
+ pair AS MATERIALIZED (SELECT g.* FROM near g JOIN w y ON y.doc_id = g.doc_id AND y.i = g.i + q AND y.w = g.w),
+ trio AS MATERIALIZED (SELECT g.* FROM pair g JOIN w z ON z.doc_id = g.doc_id AND z.i = g.i + 2 * q AND z.w = g.w),
+ lags AS (SELECT DISTINCT doc_id, q FROM trio JOIN d USING (doc_id) WHERE ws[i + 1 : i + q] = ws[i + q + 1 : i + 2 * q]),
+ wide AS MATERIALIZED (SELECT doc_id, q, i, w FROM lags JOIN w USING (doc_id)),
+ same AS (SELECT x.doc_id, q, x.i, x.i - row_number() OVER (PARTITION BY x.doc_id, q ORDER BY x.i) AS k FROM wide x JOIN w y ON y.doc_id = x.doc_id AND y.i = x.i + q AND x.w = y.w),
+ long AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS len FROM same GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(24, 3 * q)),
+ run AS (SELECT doc_id, s, len, min(q) AS q FROM long GROUP BY doc_id, s, len),
+ best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY len / q DESC, s, q) AS k FROM run),
+ every AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS t FROM run GROUP BY doc_id),
+ gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM run),
+ kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS t FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.len AS length, b.q AS period, 1000 * b.len // b.q AS exponent_milli,
+       sha256(coalesce(e.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM d LEFT JOIN every e USING (doc_id) LEFT JOIN best b ON b.doc_id = d.doc_id AND b.k = 1 LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_embeddings": op2_embeddings,
@@ -141,5 +187,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_chat": op9_chat,
     "op10_suffix": op10_suffix,
+    "op11_runs": op11_runs,
 }
-ORACLE_SQL: dict[str, str] = {"op3_substring": OP3_SQL, "op7_ngram": OP7_SQL, "op10_suffix": OP10_SQL, "op8_url_filter": OP8_SQL, "op9_chat": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_substring": OP3_SQL, "op7_ngram": OP7_SQL, "op10_suffix": OP10_SQL, "op8_url_filter": OP8_SQL, "op9_chat": OP9_SQL, "op11_runs": OP11_SQL}
