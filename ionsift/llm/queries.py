@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionsift.llm import bpe, chat, decontaminate, embedding_dedup, ngram_join, periodic_runs, pii, substring_dedup, suffix_dedup, toxicity, url_filter
+from ionsift.llm import bpe, chat, decontaminate, embedding_dedup, lloyd, mixing, ngram_join, periodic_runs, pii, substring_dedup, suffix_dedup, toxicity, url_filter
 from ionsift.llm.common import NOT_SPACE, table
 
 
@@ -90,6 +90,14 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
  win AS (SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d)),
@@ -176,6 +184,50 @@ SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.len AS length, b
 FROM d LEFT JOIN every e USING (doc_id) LEFT JOIN best b ON b.doc_id = d.doc_id AND b.k = 1 LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
+
+def _op12_sql(rounds: int = 10) -> str:
+    """Each round as three tables: squared distances, the nearest centroid, the next centroids."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+ d{r} AS MATERIALIZED (SELECT rid, c, CAST(sum((x.x - y.x) * (x.x - y.x)) AS BIGINT) AS d FROM x JOIN c{r} y USING (i) GROUP BY rid, c),
+ a{r} AS MATERIALIZED (SELECT rid, c, d FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY d, c) AS k FROM d{r}) WHERE k = 1),
+ s{r} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM a{r} JOIN x USING (rid) GROUP BY c, i),
+ c{r + 1} AS MATERIALIZED (SELECT c, i, CAST(coalesce((s - (s % n + n) % n) // n, x) AS BIGINT) AS x FROM c{r} LEFT JOIN s{r} USING (c, i))""")
+    return f"""
+WITH e AS (SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+ x AS MATERIALIZED (SELECT rid, unnest(range(64)) AS i, unnest([CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding]) AS x FROM e),
+ f AS (SELECT rid, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c FROM e QUALIFY c < 8),
+ c0 AS MATERIALIZED (SELECT c, i, x FROM f JOIN x USING (rid)),{",".join(steps)},
+ t AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256 FROM a{rounds} JOIN e USING (rid) JOIN t USING (c)
+"""
+
+OP13_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    (CAST('0x' || substr(sha256('13:' || coalesce(CAST(doc_id AS VARCHAR), sha256(coalesce(text, '')))), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM documents),
+ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM d GROUP BY source),
+ w AS (SELECT *, CASE (sid - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, sum(source_size) OVER () AS total FROM s),
+ o AS (SELECT *, total - 3 * coalesce(sum(source_size) OVER before, 0) AS rest, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS open FROM w
+       WINDOW before AS (ORDER BY 3 * source_size / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ k AS (SELECT rest, open FROM o WHERE rest * w <= 3 * source_size * open ORDER BY 3 * source_size / w, sid LIMIT 1),
+ t AS (SELECT sid, source, source_size, least(CAST(CAST(k.rest AS BIGINT) * w AS DOUBLE) / CAST(k.open AS DOUBLE), CAST(3 * source_size AS DOUBLE)) AS target FROM w, k),
+ e AS (SELECT d.*, sid, source_size, target, length(bin(size)) AS cls, CASE WHEN size > 0 THEN target / source_size ELSE 0.0 END AS x FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+ p AS (SELECT *, x - floor(x) AS p, CASE WHEN x > floor(x) THEN (u / (1 - u)) / ((x - floor(x)) / (1 - (x - floor(x)))) END AS odds FROM e),
+ r AS (SELECT *, least(floor(odds / (1 + odds) * 4096), 4095) AS b FROM p),
+ b AS (SELECT sid, cls, b, sum(size) AS words, sum(CAST(floor(p * size * 1048576) AS BIGINT)) AS e FROM r WHERE b IS NOT NULL GROUP BY sid, cls, b),
+ c AS MATERIALIZED (SELECT *, sum(words) OVER (PARTITION BY sid, cls ORDER BY b) AS cum, sum(e) OVER (PARTITION BY sid, cls) / 1048576 AS quota, dense_rank() OVER (PARTITION BY sid ORDER BY cls DESC) AS i FROM b),
+ walk AS (SELECT DISTINCT sid, CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS share, CAST(0 AS DOUBLE) AS carry FROM c
+   UNION ALL SELECT walk.sid, walk.i + 1, c.quota + carry, c.quota + carry - coalesce(max(cum) FILTER (cum <= c.quota + carry), 0) FROM walk JOIN c ON c.sid = walk.sid AND c.i = walk.i + 1 GROUP BY walk.sid, walk.i, c.quota, carry),
+ rest AS (SELECT sid, arg_max(carry, i) AS carry FROM walk GROUP BY sid),
+ edge AS (SELECT sid, c.cls, c.i, min(b) FILTER (cum > share) AS cut, arg_min(words, b) FILTER (cum > share) AS words FROM c JOIN walk USING (sid, i) GROUP BY sid, c.cls, c.i),
+ extra AS (SELECT sid, arg_min(i, (abs(carry - words), i)) AS i FROM edge JOIN rest USING (sid) WHERE abs(carry - words) < carry GROUP BY sid),
+ cut AS (SELECT edge.sid, cls, coalesce(cut, 4096) + (extra.i IS NOT NULL)::INT AS cut FROM edge LEFT JOIN extra ON extra.sid = edge.sid AND extra.i = edge.i)
+SELECT doc_id, size, source_size, target, CAST(size * (floor(x) + coalesce((b < cut)::INT, 0)) AS BIGINT) AS taken FROM r LEFT JOIN cut ON cut.sid = r.sid AND cut.cls = r.cls
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_embeddings": op2_embeddings,
@@ -188,5 +240,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat": op9_chat,
     "op10_suffix": op10_suffix,
     "op11_runs": op11_runs,
+    "op12_centroids": op12_centroids,
+    "op13_mixing": op13_mixing,
 }
-ORACLE_SQL: dict[str, str] = {"op3_substring": OP3_SQL, "op7_ngram": OP7_SQL, "op10_suffix": OP10_SQL, "op8_url_filter": OP8_SQL, "op9_chat": OP9_SQL, "op11_runs": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_substring": OP3_SQL, "op7_ngram": OP7_SQL, "op10_suffix": OP10_SQL, "op8_url_filter": OP8_SQL, "op9_chat": OP9_SQL, "op11_runs": OP11_SQL, "op12_centroids": _op12_sql(), "op13_mixing": OP13_SQL}
