@@ -135,8 +135,8 @@ def mix(docs: DataFrame, how: Mix = Mix(), weight: str | None = None) -> DataFra
     one source, the last. ``weight`` names a column of relative wishes within a source (null, NaN or not above 0: no
     copies); without it all documents of a source are equal. ``taken = copies * size``. Ranks come from digests of the
     ids (of the texts, where an id is null), so reruns agree; rows that repeat an id share its rank. Other columns are not
-    carried. A source's taken words miss its target by less than a document or, in a class of sizes with more documents
-    than buckets, a bucket of its smallest class; more only where documents lack to take.
+    carried. A source's taken words miss its target by at most half of its longest text, as long as it has at most
+    ``buckets`` texts in each class of sizes (more: by at most half a bucket of one class); short texts bring it nearer.
     """
     wish = F.lit(1.0) if weight is None else F.nanvl(F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
     key = F.coalesce(F.col("doc_id").cast("string"), F.sha2(F.coalesce("text", F.lit("")), 256))
