@@ -60,11 +60,30 @@ def splitmix64(x: Column) -> Column:
     return _let(x, lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, 31)))
 
 
+#: Ids of a stretch, which one task numbers; ids are 32-bit, so there are as many stretches at most.
+STRETCH = 1 << 16
+
+
+def numbered(frames: DataFrame, name: str) -> DataFrame:
+    """Adds each frame's position by ``frame_id``, from 0, in two passes.
+
+    Ids are cut into stretches; the frames of each are counted, the counts summed up to each stretch, and frames numbered
+    within theirs. No task sees more than 65,536 rows, whatever the run's size.
+    """
+    cut = frames.withColumn("__part", F.expr(f"frame_id div {STRETCH}"))
+    counts = cut.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    upto = Window.partitionBy(F.expr(f"__part div {STRETCH}")).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("__part", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy("frame_id"))
+    return cut.withColumn("__row", inside).join(before, "__part").withColumn(name, F.col("__before") + F.col("__row") - 1).drop("__part", "__before", "__row")
+
+
 def frame_sample(frames: DataFrame, fraction: float, seed: int) -> DataFrame:
-    """Frames whose hashed position (0-based, by frame_id) falls under the fraction. The frame table is small: one row per frame."""
+    """Frames whose hashed position (0-based, by frame_id) falls under the fraction."""
     limit = min(max(int(fraction * 2**64), 0), 2**64 - 1)
-    place = F.row_number().over(Window.orderBy("frame_id")).cast("long") - 1
+    out = frames.columns
+    frames, place = numbered(frames, "__place"), F.col("__place")
     z = splitmix64(_times(place + F.lit(seed), _GAMMA))
     # unsigned comparison: flip the sign bit on both sides
     flip = F.lit(-(2**63))
-    return frames.withColumn("__z", z).where(F.col("__z").bitwiseXOR(flip) <= F.lit(limit - 2**63)).drop("__z")
+    return frames.withColumn("__z", z).where(F.col("__z").bitwiseXOR(flip) <= F.lit(limit - 2**63)).select(*out)

@@ -1,86 +1,132 @@
-"""Centroiders: each point's group depends on the groups of brighter ones, so a frame is grouped in order by a small kernel.
+"""Centroiders: a point's group depends on those of brighter points near it, and on nothing else in its frame.
 
-Spark deals the frames out, and the sums over groups and colliding cells are ordinary aggregates.
+So all points that no undecided brighter point can reach are decided at once, round by round, with the result of going
+through the frame's points from the brightest down. Rounds work on arrays of all points of many frames; Spark deals the
+frames out, and the sums over groups and colliding cells are ordinary aggregates.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from ionsift.model import MOST, BoxCentroid, Watershed
+from ionsift.operators.kernels import Extremes, Rows, by_groups, columns, ranges
 
 #: Groups that the watershed makes in a frame, at most; it stops there, and the frame's fainter points are dropped.
 MAX_GROUPS = 100_000
-AROUND = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+#: Points whose boxes are listed at once.
+LISTED = 20_000
+
 
+def places(frame: np.ndarray, scan: np.ndarray, tof: np.ndarray, intensity: np.ndarray, point_id: np.ndarray) -> np.ndarray:
+    """Each point's place, brightest first within its frame; ties: smaller scan, TOF, id."""
+    out = np.empty(len(frame), np.int64)
+    out[np.lexsort((point_id, tof, scan, -intensity, frame))] = np.arange(len(frame))
+    return out
 
-def _brightest_first(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.sort_values(["point_id"]).sort_values(["intensity", "scan", "tof"], ascending=[False, True, True], kind="stable")
 
+def box_groups(frame: np.ndarray, scan: np.ndarray, tof: np.ndarray, place: np.ndarray, p: BoxCentroid) -> np.ndarray:
+    """The place of the seed whose box takes each point.
 
-def watershed_groups(pdf: pd.DataFrame, p: Watershed, max_groups: int = MAX_GROUPS) -> np.ndarray:
-    """Group of each row of a frame, brightest first; -1 for none.
+    A free point that is the brightest free one within twice its box is a seed: no seed before it can reach it or a point
+    of its box. It takes all free points of its box.
+    """
+    out, free, n = np.empty(len(frame), np.int64), np.arange(len(frame)), len(frame)
+    s, m = p.scan_half, p.mz_idx_half
+    while len(free):
+        rows = Rows(frame[free], scan[free], tof[free], 2 * s, 2 * m)
+        free = free[rows.order]
+        first = n - place[free]  # larger is earlier
+        best, every = first, Extremes(first)
+        for down in range(-2 * s, 2 * s + 1):
+            best = np.maximum(best, every.over(*rows.box(down, -2 * m, 2 * m), 0))
+        seeds, taken = Extremes(np.where(best == first, first, 0)), np.zeros(len(free), np.int64)
+        for down in range(-s, s + 1):
+            taken = np.maximum(taken, seeds.over(*rows.box(down, -m, m), 0))
+        out[free[taken > 0]] = n - taken[taken > 0]
+        free = free[taken == 0]
+    return out
+
+
+def watershed_groups(frame: np.ndarray, scan: np.ndarray, tof: np.ndarray, intensity: np.ndarray, place: np.ndarray, p: Watershed, max_groups: int = MAX_GROUPS) -> np.ndarray:
+    """The place of each point's seed; -1 for none.
 
     A point joins the group of the nearest placed point in its box (city-block distance; then the brighter seed; then the
-    one met first), unless it is too far in TOF from that group's seed; else it seeds a group if bright enough.
+    smaller grid cell and place), unless it is too far in TOF from that group's seed; else it seeds a group if bright enough.
+    It is decided once all brighter points of its box are.
     """
-    group = np.full(len(pdf), -1, np.int64)
-    seeds: list[tuple[int, int]] = []  # intensity, TOF
-    cells: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-    wide, tall = max(1, p.box_scan), max(1, p.box_mz_idx)
-    for row, (s, t, v) in enumerate(pdf[["scan", "tof", "intensity"]].itertuples(index=False)):
-        if len(seeds) >= max_groups:
-            break
-        at = (s // wide, t // tall)
-        near = (
-            (abs(s - qs) + abs(t - qt), -seeds[g][0], g)
-            for i, j in AROUND
-            for qs, qt, g in cells.get((at[0] + i, at[1] + j), ())
-            if abs(s - qs) <= p.box_scan and abs(t - qt) <= p.box_mz_idx and abs(t - seeds[g][1]) <= p.max_tof_offset
-        )
-        best = min(near, key=lambda x: x[:2], default=None)
-        if best is not None:
-            group[row] = best[2]
-        elif v >= p.min_seed_intensity:
-            group[row] = len(seeds)
-            seeds.append((v, t))
-        else:
-            continue
-        cells[at].append((s, t, int(group[row])))
-    return group
-
-
-def box_groups(pdf: pd.DataFrame, p: BoxCentroid) -> np.ndarray:
-    """Group of each row of a frame, brightest first: the first free point takes all free ones in the box around it."""
-    scan, tof = pdf["scan"].to_numpy(), pdf["tof"].to_numpy()
-    wide, tall = max(1, p.scan_half), max(1, p.mz_idx_half)
-    cells: dict[tuple[int, int], list[int]] = defaultdict(list)
-    for row, at in enumerate(zip((scan // wide).tolist(), (tof // tall).tolist())):
-        cells[at].append(row)
-    group, n = np.full(len(pdf), -1, np.int64), 0
-    for row in range(len(pdf)):
-        if group[row] >= 0:
-            continue
-        a, b = int(scan[row] // wide), int(tof[row] // tall)
-        rows = np.array([q for i, j in AROUND for q in cells.get((a + i, b + j), ())])
-        take = rows[(group[rows] < 0) & (np.abs(scan[rows] - scan[row]) <= p.scan_half) & (np.abs(tof[rows] - tof[row]) <= p.mz_idx_half)]
-        group[take] = n
-        n += 1
-    return group
-
-
-def _grouped(points: DataFrame, kernel) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _brightest_first(pdf)
-        return pdf.assign(group_id=kernel(pdf))[["frame_id", "group_id", "scan", "tof", "intensity"]]
-
-    needed = points.select("frame_id", "point_id", F.col("scan").cast("long").alias("scan"), "tof", "intensity")
-    return needed.groupBy("frame_id").applyInPandas(run, "frame_id long, group_id long, scan long, tof long, intensity long").where("group_id >= 0")
+    n, wide, tall = len(frame), max(1, p.box_scan), max(1, p.box_mz_idx)
+    rows = Rows(frame, scan, tof, p.box_scan, p.box_mz_idx)
+    frame, scan, tof, intensity, place = (x[rows.order] for x in (frame, scan, tof, intensity, place))
+    of_place = np.empty(n, np.int64)
+    of_place[place] = np.arange(n)
+
+    def near(some: np.ndarray):
+        """(place in ``some``, point) of the points in the boxes of some points, a bounded number of boxes at a time."""
+        for b in range(0, len(some), LISTED):
+            part = rows.key[some[b : b + LISTED]]
+            at, to = [], []
+            for down in range(-p.box_scan, p.box_scan + 1):
+                k = part + down * rows.wide
+                q, own = ranges(np.searchsorted(rows.key, k - p.box_mz_idx), np.searchsorted(rows.key, k + p.box_mz_idx, "right"))
+                at.append(own)
+                to.append(q)
+            yield b + np.concatenate(at), np.concatenate(to)
+
+    waits = np.zeros(n, np.int64)  # brighter points of the box that are not decided
+    for at, q in near(np.arange(n)):
+        waits += np.bincount(at[place[q] < place[at]], minlength=n)
+    group = np.full(n, -1, np.int64)
+    ready = np.flatnonzero(waits == 0)
+    while len(ready):
+        later, chosen = [], np.full(len(ready), -1, np.int64)
+        for at, q in near(ready):
+            me = ready[at]
+            later.append(q[place[q] > place[me]])
+            on = (place[q] < place[me]) & (group[q] >= 0)
+            at, q, me = at[on], q[on], me[on]
+            seed = of_place[group[q]]
+            on = np.abs(tof[me] - tof[seed]) <= p.max_tof_offset
+            at, q, me, seed = at[on], q[on], me[on], seed[on]
+            order = np.lexsort((place[q], tof[q] // tall, scan[q] // wide, -intensity[seed], np.abs(scan[me] - scan[q]) + np.abs(tof[me] - tof[q]), at))
+            first = order[np.flatnonzero(np.diff(at[order], prepend=-1))]
+            chosen[at[first]] = group[q[first]]
+        alone = (chosen < 0) & (intensity[ready] >= p.min_seed_intensity)
+        chosen[alone] = place[ready[alone]]
+        group[ready] = chosen
+        less = np.bincount(np.concatenate(later), minlength=n)
+        waits -= less
+        ready = np.flatnonzero((waits == 0) & (less > 0))
+    # a frame is finished with its last seed: fainter points are dropped
+    seeds = np.sort(place[group == place])
+    own = frame[of_place[seeds]]
+    at = np.arange(len(seeds)) - np.searchsorted(own, own)
+    last = np.full(int(frame.max(initial=0)) + 1, n, np.int64)
+    last[own[at == max_groups - 1]] = seeds[at == max_groups - 1]
+    group[(place > last[frame]) | (max_groups < 1)] = -1
+    out = np.empty(n, np.int64)
+    out[rows.order] = group
+    return out
+
+
+def _grouped(points: DataFrame, grouping) -> DataFrame:
+    """``frame_id, group_id, scan, tof, intensity`` of the points that have a group."""
+
+    def kernel(table: pa.Table, frame: np.ndarray) -> pa.Table:
+        scan, tof, intensity, point_id = columns(table, "scan", "tof", "intensity", "point_id")
+        group = grouping(frame, scan, tof, intensity, places(frame, scan, tof, intensity, point_id))
+        made = pa.table([table["frame_id"], pa.array(group), *map(pa.array, (scan, tof, intensity))], names=["frame_id", "group_id", "scan", "tof", "intensity"])
+        return made.filter(pa.array(group >= 0))
+
+    needed = points.select(F.col("frame_id").cast("long").alias("frame_id"), F.coalesce("point_id", F.lit(0)).cast("long").alias("point_id"), "scan", "tof", "intensity")
+    schema = StructType()
+    for name in ("frame_id", "group_id", "scan", "tof", "intensity"):
+        schema = schema.add(name, LongType())
+    return by_groups(needed, ("frame_id",), kernel, schema)
 
 
 def _centroids(grouped: DataFrame, least: int, drop_zero: bool) -> DataFrame:
@@ -99,9 +145,9 @@ def watershed(points: DataFrame, p: Watershed = Watershed(), max_groups: int = M
 
     A frame with ``max_groups`` groups is finished: its remaining, fainter points are dropped.
     """
-    return _centroids(_grouped(points, lambda pdf: watershed_groups(pdf, p, max_groups)), p.min_centroid_total, False)
+    return _centroids(_grouped(points, lambda *x: watershed_groups(*x, p, max_groups)), p.min_centroid_total, False)
 
 
 def box_centroid(points: DataFrame, p: BoxCentroid = BoxCentroid()) -> DataFrame:
     """``frame_id, scan, tof, intensity``: intensity-weighted means of small boxes around the brightest free points."""
-    return _centroids(_grouped(points, lambda pdf: box_groups(pdf, p)), p.min_total, True)
+    return _centroids(_grouped(points, lambda frame, scan, tof, intensity, place: box_groups(frame, scan, tof, place, p)), p.min_total, True)

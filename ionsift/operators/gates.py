@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ionsift.functions.scalars import mz_to_tof, scan_to_im
 from ionsift.model import Calibration, Crop, Pads
 
-#: Rows of a gate table that are broadcast, at most; they are counted.
-MOST_ROWS = 500_000
+#: Scans of a run whose gate is broadcast, at most: a gate has one row for each scan.
+MOST_SCANS = 500_000
 
 
 def merge_intervals(df: DataFrame, by: tuple[str, ...], begin: str = "scan_begin", end: str = "scan_end") -> DataFrame:
@@ -47,9 +47,27 @@ def in_window(points: DataFrame, intervals: DataFrame, pad: int = 0) -> DataFram
     return points.join(listed, "frame_id", "left").where(F.col("__w").isNull() | inside).select(*points.columns)
 
 
-def _within(points: DataFrame, gate: DataFrame) -> DataFrame:
-    g = (F.broadcast(gate) if gate.limit(MOST_ROWS + 1).count() <= MOST_ROWS else gate).alias("g")
-    return points.alias("p").join(g, (F.col("p.scan") == F.col("g.scan")) & F.col("p.tof").between(F.col("g.tof_lo"), F.col("g.tof_hi")), "left_semi")
+def by_scan(gate: DataFrame) -> DataFrame:
+    """``scan, tof_lo, tof_hi`` spans -> one row for each scan: its spans merged, their ends in two sorted arrays.
+
+    ``steps`` are the powers of two, falling, that a binary search over them takes.
+    """
+    half_open = merge_intervals(gate.select("scan", "tof_lo", (F.col("tof_hi") + 1).alias("tof_end")), ("scan",), "tof_lo", "tof_end")
+    listed = half_open.groupBy("scan").agg(F.array_sort(F.collect_list(F.struct("tof_lo", "tof_end"))).alias("s"))
+    steps = F.transform(F.sequence(F.floor(F.log2(F.size("s"))).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int"))
+    return listed.select("scan", F.col("s.tof_lo").alias("__lo"), F.col("s.tof_end").alias("__end"), steps.alias("__steps"))
+
+
+def _within(points: DataFrame, gate: DataFrame, num_scans: int, open_if_empty: bool = False) -> DataFrame:
+    """Points in a span of their scan, found by binary search. A gate without spans lets nothing or, if asked to, all pass."""
+    merged = by_scan(gate)
+    merged = F.broadcast(merged) if num_scans <= MOST_SCANS else merged
+    # spans that begin at or before the point: the last of them is the only one that can hold it
+    n = F.aggregate("__steps", F.lit(0), lambda n, step: F.when((n + step <= F.size("__lo")) & (F.get("__lo", n + step - 1) <= F.col("tof")), n + step).otherwise(n))
+    inside = F.coalesce(F.col("tof") < F.get("__end", n - 1), F.lit(False))
+    if open_if_empty:
+        inside = inside | (gate.agg(F.count(F.lit(1))).scalar() == 0)
+    return points.join(merged, "scan", "left" if open_if_empty else "inner").where(inside).select(*points.columns)
 
 
 def box_gate_table(boxes: DataFrame, num_scans: int, c: Calibration, pads: Pads = Pads()) -> DataFrame:
@@ -67,7 +85,7 @@ def box_gate_table(boxes: DataFrame, num_scans: int, c: Calibration, pads: Pads
 
 def dia_ms1_gate(points: DataFrame, boxes: DataFrame | None, num_scans: int, c: Calibration, pads: Pads = Pads()) -> DataFrame:
     """MS1 points inside any padded isolation box."""
-    return points if boxes is None or num_scans < 1 else _within(points, box_gate_table(boxes, num_scans, c, pads))
+    return points if boxes is None or num_scans < 1 else _within(points, box_gate_table(boxes, num_scans, c, pads), num_scans)
 
 
 def polygon_gate_table(spark: SparkSession, ring: list[tuple[float, float]], num_scans: int, c: Calibration, pads: Pads = Pads()) -> DataFrame | None:
@@ -93,7 +111,7 @@ def polygon_gate_table(spark: SparkSession, ring: list[tuple[float, float]], num
 def polygon_gate(points: DataFrame, ring: list[tuple[float, float]], num_scans: int, c: Calibration, pads: Pads = Pads()) -> DataFrame:
     """MS1 points inside the selection polygon; a ring that covers no scan gates nothing."""
     gate = polygon_gate_table(points.sparkSession, ring, num_scans, c, pads)
-    return points if gate is None or gate.isEmpty() else _within(points, gate)
+    return points if gate is None else _within(points, gate, num_scans, open_if_empty=True)
 
 
 def crop_bounds(crop: Crop, num_scans: int, c: Calibration | None) -> dict[str, int]:

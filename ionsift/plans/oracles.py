@@ -103,3 +103,41 @@ CENTRED = "centred AS (SELECT centre, scan, tof, least(sum(intensity), 429496729
 def per_window(out: str, w: int, gap: int, length: int) -> str:
     placed = "placed AS (SELECT p.*, coalesce(iv.scan_begin, -1) AS win FROM ms2 p LEFT JOIN iv ON iv.frame_id = p.frame_id AND p.scan >= iv.scan_begin AND p.scan < iv.scan_end WHERE iv.scan_begin IS NOT NULL OR NOT EXISTS (FROM iv j WHERE j.frame_id = p.frame_id))"
     return placed + "," + streak(out, "placed", w, gap, length, by="frame_id, win")
+
+
+RANKED = "ranked AS (SELECT frame_id, scan, tof, intensity, row_number() OVER (PARTITION BY frame_id ORDER BY intensity DESC, scan, tof, point_id) AS k FROM pts)"
+
+
+def centroids(least: int) -> str:
+    """The cells of ``grouped(frame_id, g, scan, tof, intensity)``: rounded weighted means of groups, colliding ones summed."""
+    return f"""sums AS (SELECT frame_id, sum(intensity) AS total, sum(scan::HUGEINT * intensity) AS ws, sum(tof::HUGEINT * intensity) AS wt FROM grouped GROUP BY frame_id, g HAVING sum(intensity) >= {least}),
+ means AS (SELECT frame_id, CAST((2 * ws + total) // (2 * total) AS INTEGER) AS scan, CAST((2 * wt + total) // (2 * total) AS BIGINT) AS tof, total FROM sums)
+SELECT frame_id, scan, tof, CAST(least(sum(total), 4294967295) AS BIGINT) AS intensity FROM means GROUP BY frame_id, scan, tof"""
+
+
+def box_centroid(scan: int, tof: int) -> str:
+    """Rounds: a free point with no brighter free one within twice its box takes the free points of its box."""
+    near = "b.frame_id = a.frame_id AND abs(b.scan - a.scan) <= {} AND abs(b.tof - a.tof) <= {}"
+    return f"""WITH RECURSIVE {PTS},
+ {RANKED},
+ r AS (SELECT *, NULL::BIGINT AS g FROM ranked UNION ALL (
+   WITH free AS (FROM r WHERE g IS NULL), seeds AS (SELECT * FROM free a WHERE NOT EXISTS (FROM free b WHERE {near.format(2 * scan, 2 * tof)} AND b.k < a.k))
+   SELECT a.* REPLACE (b.k AS g) FROM free a LEFT JOIN seeds b ON {near.format(scan, tof)})),
+ grouped AS (FROM r WHERE g IS NOT NULL),
+ {centroids(1)}"""
+
+
+def watershed(scan: int, tof: int, offset: int) -> str:
+    """Rounds: a point whose brighter neighbours are all decided joins the nearest group that it may join, or seeds one."""
+    near = f"b.frame_id = a.frame_id AND abs(b.scan - a.scan) <= {scan} AND abs(b.tof - a.tof) <= {tof} AND b.k < a.k"
+    return f"""WITH RECURSIVE {PTS},
+ {RANKED},
+ r AS (SELECT *, 0 AS step, false AS done, NULL::BIGINT AS g, NULL::BIGINT AS gi, NULL::BIGINT AS gt FROM ranked UNION ALL (
+   WITH seen AS (SELECT a.frame_id, a.k, bool_or(NOT b.done) AS waits,
+        min({{d: abs(b.scan - a.scan) + abs(b.tof - a.tof), i: -b.gi, s: b.scan // {scan}, t: b.tof // {tof}, k: b.k, g: b.g, gi: b.gi, gt: b.gt}}) FILTER (b.g IS NOT NULL AND abs(a.tof - b.gt) <= {offset}) AS best
+      FROM r a JOIN r b ON {near} WHERE NOT a.done GROUP BY a.frame_id, a.k),
+   now AS (SELECT a.*, best, NOT a.done AND NOT coalesce(waits, false) AS ready FROM r a LEFT JOIN seen USING (frame_id, k))
+   SELECT frame_id, scan, tof, intensity, k, step + 1, done OR ready, CASE WHEN ready THEN coalesce(best.g, k) ELSE g END, CASE WHEN ready THEN coalesce(best.gi, intensity) ELSE gi END, CASE WHEN ready THEN coalesce(best.gt, tof) ELSE gt END
+   FROM now WHERE EXISTS (FROM r WHERE NOT done))),
+ grouped AS (SELECT frame_id, g, scan, tof, intensity FROM r WHERE step = (SELECT max(step) FROM r)),
+ {centroids(0)}"""

@@ -18,8 +18,7 @@ def _ms1(points: DataFrame, frames: DataFrame, geo: Geometry, plan: Plan, num_sc
     if s.frame_half_width:
         out = filters.neighbourhood_filter(points, frames, s.frame_half_width, plan.streak, s.halo)
     else:
-        out = filters.streak(points, plan.streak)
-        out = filters.halo(out, s.halo) if s.halo else out
+        out = filters.clean(points, plan.streak, s.halo)
     if s.dia_ms1 and geo.calibration and geo.dia_boxes is not None:
         out = gates.dia_ms1_gate(out, geo.dia_boxes, num_scans, geo.calibration, s.dia_ms1)
     if s.ms1_polygon and geo.calibration and geo.dia_windows is None:
@@ -39,8 +38,7 @@ def _msms(points: DataFrame, geo: Geometry, plan: Plan) -> tuple[DataFrame, bool
         if s.dia_per_window and geo.dia_windows is not None:
             out = filters.per_window_filter(points, geo.dia_windows, knobs, s.halo)
         else:
-            out = filters.streak(points, knobs)
-            out = filters.halo(out, s.halo) if s.halo else out
+            out = filters.clean(points, knobs, s.halo)
         own = True
     else:
         out, own = points, False

@@ -253,12 +253,12 @@ def box_conserved(spark, d):
     return centroid.box_centroid(fx.points(spark, d)).groupBy("frame_id").agg(F.sum("intensity").alias("intensity"))
 
 
-@query()
+@query(o.watershed(10, 3, 10))
 def watershed(spark, d):
     return centroid.watershed(fx.points(spark, d))
 
 
-@query()
+@query(o.box_centroid(2, 2))
 def box_centroid(spark, d):
     return centroid.box_centroid(fx.points(spark, d))
 

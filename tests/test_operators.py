@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,13 +140,14 @@ def test_crop():
 def brute_watershed(points, p):
     order = sorted(range(len(points)), key=lambda i: (-points[i][2], points[i][0], points[i][1]))
     placed, groups = [], []
+    cell = lambda s, t: (s // max(1, p.box_scan), t // max(1, p.box_mz_idx))
     for i in order:
         s, t, v = points[i]
         best = None
         for q, g in placed:
             a, b, _ = points[q]
             if abs(a - s) <= p.box_scan and abs(b - t) <= p.box_mz_idx and abs(groups[g][0][1] - t) <= p.max_tof_offset:
-                k = (abs(a - s) + abs(b - t), -groups[g][0][2])
+                k = (abs(a - s) + abs(b - t), -groups[g][0][2], cell(a, b))
                 if best is None or k < best[0]:
                     best = (k, g)
         if best:
@@ -205,11 +207,82 @@ def test_box(spark):
 
 def test_most_groups():
     """After the last group that a frame may have, its fainter points are dropped, as documented."""
-    import pandas as pd
-
-    points = pd.DataFrame([(1, i, 10 * i, 50, 100 - i) for i in range(6)] + [(1, 9, 1, 50, 5)], columns=["frame_id", "point_id", "scan", "tof", "intensity"])
-    got = centroid.watershed_groups(points, Watershed(2, 1, 0, 0, 10), 3)
-    assert got.tolist() == [0, 1, 2, -1, -1, -1, -1]
+    pts = np.array([(0, 10 * i, 50, 100 - i, i) for i in range(6)] + [(0, 1, 50, 5, 9), (1, 3, 50, 5, 1)])
+    frame_, scan, tof, intensity, point_id = pts.T
+    place = centroid.places(frame_, scan, tof, intensity, point_id)
+    got = centroid.watershed_groups(frame_, scan, tof, intensity, place, Watershed(2, 1, 0, 0, 10), 3)
+    assert got.tolist() == [0, 1, 2, -1, -1, -1, -1, 7]
+    assert (centroid.watershed_groups(frame_, scan, tof, intensity, place, Watershed(2, 1, 0, 0, 10), 0) == -1).all()
+
+
+def many_frames(spark, seed=1, n=1500):
+    """Frames of clumps, ties and equal cells; two groups of ``by`` are null."""
+    r = np.random.default_rng(seed)
+    rows = [(int(f), i, int(abs(s)), int(abs(t)), int(v)) for i, (f, s, t, v) in enumerate(zip(r.integers(0, 7, n), r.normal(20, 9, n), r.normal(30, 12, n), r.choice([1, 2, 5, 5, 9, 40, 2**31], n)))]
+    return spark.createDataFrame(rows, model.POINTS)
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.select("frame_id", "point_id", "scan", "tof", "intensity").collect()))
+
+
+def test_forms_agree(spark):
+    """Kernels and SQL keep, and make, the same rows; kernels get whole groups however batches fall."""
+    points = many_frames(spark)
+    for p in (Streak(2, 3, 1, 0, 0, 1), Streak(0, 2, 0, 5, 20, 2), Streak(1, 4, 3, 3, 0, 3)):
+        assert rows_of(filters.streak(points, p)) == rows_of(filters.streak(points, p, form="sql")) != rows_of(points)
+        h = Halo(0.3, 3, 1)
+        assert rows_of(filters.clean(points, p, h)) == rows_of(filters.clean(points, p, h, form="sql"))
+    for h in (Halo(0.15, 2, 2), Halo(1.0, 1, 0), Halo(0.5, 0, 3)):
+        assert rows_of(filters.halo(points, h)) == rows_of(filters.halo(points, h, form="sql"))
+    for s in (Smooth(), Smooth(0, 0, 2), Smooth(1, 4, 3)):
+        assert rows_of(rewrite.smooth(points, s)) == rows_of(rewrite.smooth(points, s, form="sql"))
+    small = spark.newSession()
+    small.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    narrow = small.createDataFrame(points.toPandas(), model.POINTS)
+    assert rows_of(filters.clean(narrow, Streak(), Halo())) == rows_of(filters.clean(points, Streak(), Halo(), form="sql"))
+    assert filters.clean(points.limit(0), Streak(), Halo()).count() == 0 and filters.streak(points, Streak(iterations=0)).count() == points.count()
+    nulls = points.selectExpr("CASE WHEN frame_id > 1 THEN frame_id END AS frame_id", "point_id", "scan", "tof", "intensity")
+    assert filters.halo(nulls, Halo(0.3, 3, 1)).where("frame_id is null").count() > 0
+
+
+def test_streak_shuffles_each_point_once(spark):
+    """No explode in the plan: all passes and the halo take one exchange of the points."""
+    plan = filters.clean(many_frames(spark), Streak(), Halo())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan
+
+
+def test_centroids_of_many_frames(spark):
+    points = many_frames(spark, 3).where("intensity < 100")
+    each = lambda f: [(s, t, v) for _, _, s, t, v in rows_of(points.where(f"frame_id = {f}"))]
+    w, b = Watershed(3, 2, 5, 0, 4), BoxCentroid(2, 1, 0)
+    got_w, got_b = centroid.watershed(points, w).collect(), centroid.box_centroid(points, b).collect()
+    for f in range(7):
+        assert sorted((r.scan, r.tof, r.intensity) for r in got_w if r.frame_id == f) == brute_watershed(each(f), w)
+        assert sorted((r.scan, r.tof, r.intensity) for r in got_b if r.frame_id == f) == brute_box(each(f), b)
+
+
+def test_numbered(spark):
+    """Positions run through stretches without gaps; no task numbers the whole table."""
+    from ionsift.functions.scalars import numbered
+
+    ids = [0, 5, 65_535, 65_536, 65_540, 200_000, 200_001, 4_294_967_295]
+    df = numbered(spark.createDataFrame([(i,) for i in ids[::-1]], "frame_id long"), "at")
+    assert [tuple(r) for r in df.orderBy("frame_id").collect()] == list(zip(ids, range(8)))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+
+
+def test_gate_by_scan(spark):
+    """One row for each scan, spans that touch or overlap merged, the same points as by comparing with every span."""
+    spans = [(1, 5, 9), (1, 10, 12), (1, 20, 20), (1, 7, 8), (2, 0, 3), (4, 9, 2)] + [(7, 4 * k, 4 * k + 1) for k in range(37)]
+    gate = spark.createDataFrame(spans, "scan int, tof_lo long, tof_hi long")
+    merged = {r.scan: list(zip(r["__lo"], r["__end"])) for r in gates.by_scan(gate).collect()}
+    assert merged[1] == [(5, 13), (20, 21)] and merged[2] == [(0, 4)] and 4 not in merged and len(merged[7]) == 37
+    points = spark.createDataFrame([(1, 1, s, t, 1) for s in range(9) for t in range(160)], model.POINTS)
+    got = {(r.scan, r.tof) for r in gates._within(points, gate, 9).collect()}
+    assert got == {(s, t) for s, a, b in spans for t in range(a, b + 1)}
+    assert gates._within(points, gate.limit(0), 9).count() == 0 and gates._within(points, gate.limit(0), 9, True).count() == points.count()
 
 
 def test_sample(spark):
