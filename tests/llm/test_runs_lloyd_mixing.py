@@ -174,7 +174,7 @@ def test_mixing_probabilities(spark):
         for r in mixing.mix(docs, mixing.Mix((3, 1), seed=seed)).collect():
             total[r.doc_id] += r.copies
     assert abs(total[::2].mean() / 6 - 1.5) < 0.02 and abs(total[1::2].mean() / 6 - 0.5) < 0.02
-    assert total[1::2].std() > 0.5 and 0 < total[1::2].min() + 1 and total[1::2].max() < 6  # not always the same ones
+    assert 1.0 < total[1::2].std() < 1.5  # not always the same ones: about as six throws of a coin
 
 
 def test_mixing_weights(spark):
