@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import shutil
 import time
 import warnings
 from dataclasses import asdict
@@ -11,8 +12,8 @@ from dataclasses import asdict
 from pyspark.sql import SparkSession
 
 from ionsift import model
-from ionsift.model import Calibration, Geometry, Plan
-from ionsift.operators import gates, stats
+from ionsift.model import Calibration, Plan
+from ionsift.operators import stats
 from ionsift.plans.context import Control
 from ionsift.plans.pipeline import denoise, summary
 from ionsift.sources import tdf
@@ -48,16 +49,6 @@ def parse(argv: list[str]) -> argparse.Namespace:
     return a
 
 
-def geometry(spark: SparkSession, path: str, calibration: Calibration | None) -> Geometry:
-    pasef = tdf.read_pasef_windows(spark, path)
-    info, windows = tdf.read_dia(spark, path)
-    dia = not windows.isEmpty()
-    return Geometry(
-        None if pasef.isEmpty() else pasef, gates.dia_intervals(info, windows) if dia else None,
-        gates.dia_boxes(windows) if dia else None, tdf.read_polygon(path), calibration,
-    )
-
-
 def report(a: argparse.Namespace, plan: Plan, acquisition: str, numbers: dict, seconds: float) -> dict:
     return {
         "input": a.input, "output": None if a.dry_run else a.input if a.in_place else a.output, "acquisition": acquisition, "dry_run": a.dry_run,
@@ -67,11 +58,11 @@ def report(a: argparse.Namespace, plan: Plan, acquisition: str, numbers: dict, s
 
 def run(spark: SparkSession, a: argparse.Namespace, control: Control | None = None) -> dict:
     """The whole command. ``control`` reports progress and can cancel; a cancelled run leaves no output behind."""
-    with control or Control(spark):
-        return _run(spark, a)
+    with control or Control(spark) as held:
+        return _run(spark, a, held)
 
 
-def _run(spark: SparkSession, a: argparse.Namespace) -> dict:
+def _run(spark: SparkSession, a: argparse.Namespace, control: Control) -> dict:
     began = time.time()
     settings = model.load_settings(a.config) if a.config else {}
     flags = {k: getattr(a, k) for k in model.KIND}
@@ -92,17 +83,22 @@ def _run(spark: SparkSession, a: argparse.Namespace) -> dict:
     if max(segments) > 1 and (plan.stages.dia_ms1 or plan.stages.ms1_polygon):
         warnings.warn(f"the run has {segments[0]} m/z and {segments[1]} mobility calibrations; gates use one for all frames and may be slightly off on others", stacklevel=2)
     sample = None if a.sample is None else (a.sample, a.sample_seed)
-    points = tdf.read_points(spark, a.input)
-    kept = denoise(points, frames, plan, geometry(spark, a.input, calibration), sample=sample)
+    points, control.total = tdf.read_points(spark, a.input), frames.count()
+    kept = denoise(points, frames, plan, tdf.geometry(spark, a.input, calibration), sample=sample)
     if a.dry_run:
         numbers = summary(points, kept, frames, plan, sample).first().asDict()
+        control.frames.add(control.total)
     else:
         target = f"{a.input.rstrip('/')}.new" if a.in_place else a.output
-        tdf.write_run(kept, frames, a.input, target, a.force or a.in_place)
-        # what was kept is read back, not computed again
-        numbers = summary(points, tdf.read_points(spark, target), frames, plan).first().asDict()
-        if a.in_place:
-            tdf.replace_in_place(a.input.rstrip("/"), target)
+        try:
+            tdf.write_run(kept, frames, a.input, target, a.force or a.in_place, control.frames)
+            # what was kept is read back, not computed again
+            numbers = summary(points, tdf.read_points(spark, target), frames, plan).first().asDict()
+            if a.in_place:
+                tdf.replace_in_place(a.input.rstrip("/"), target)
+        finally:
+            if a.in_place:
+                shutil.rmtree(target, ignore_errors=True)
     made = report(a, plan, kind, numbers, time.time() - began)
     if a.report:
         with open(a.report, "w") as f:

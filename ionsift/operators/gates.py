@@ -59,8 +59,8 @@ def by_scan(gate: DataFrame) -> DataFrame:
 
 
 def _within(points: DataFrame, gate: DataFrame, num_scans: int, open_if_empty: bool = False) -> DataFrame:
-    """Points in a span of their scan, found by binary search. A gate without spans lets nothing or, if asked to, all pass."""
-    merged = by_scan(gate)
+    """Points in a span of their scan, found by binary search. A gate (spans, or ``by_scan`` of them) without spans lets nothing or, if asked to, all pass."""
+    merged = gate if "__lo" in gate.columns else by_scan(gate)
     merged = F.broadcast(merged) if num_scans <= MOST_SCANS else merged
     # spans that begin at or before the point: the last of them is the only one that can hold it
     n = F.aggregate("__steps", F.lit(0), lambda n, step: F.when((n + step <= F.size("__lo")) & (F.get("__lo", n + step - 1) <= F.col("tof")), n + step).otherwise(n))
@@ -83,9 +83,9 @@ def box_gate_table(boxes: DataFrame, num_scans: int, c: Calibration, pads: Pads
     return b.select(F.explode(F.sequence("s0", "s1")).alias("scan"), "tof_lo", "tof_hi").distinct()
 
 
-def dia_ms1_gate(points: DataFrame, boxes: DataFrame | None, num_scans: int, c: Calibration, pads: Pads = Pads()) -> DataFrame:
-    """MS1 points inside any padded isolation box."""
-    return points if boxes is None or num_scans < 1 else _within(points, box_gate_table(boxes, num_scans, c, pads), num_scans)
+def dia_ms1_gate(points: DataFrame, boxes: DataFrame | None, num_scans: int, c: Calibration, pads: Pads = Pads(), built: DataFrame | None = None) -> DataFrame:
+    """MS1 points inside any padded isolation box; ``built`` is the gate by scan, if it is there already."""
+    return points if boxes is None or num_scans < 1 else _within(points, built if built is not None else box_gate_table(boxes, num_scans, c, pads), num_scans)
 
 
 def polygon_gate_table(spark: SparkSession, ring: list[tuple[float, float]], num_scans: int, c: Calibration, pads: Pads = Pads()) -> DataFrame | None:
@@ -108,9 +108,9 @@ def polygon_gate_table(spark: SparkSession, ring: list[tuple[float, float]], num
     return spans.select("scan", F.greatest(F.floor(mz_to_tof(low, c)), F.lit(0)).alias("tof_lo"), F.greatest(F.ceil(mz_to_tof(high, c)), F.lit(0)).alias("tof_hi")).where("tof_hi >= tof_lo").distinct()
 
 
-def polygon_gate(points: DataFrame, ring: list[tuple[float, float]], num_scans: int, c: Calibration, pads: Pads = Pads()) -> DataFrame:
+def polygon_gate(points: DataFrame, ring: list[tuple[float, float]], num_scans: int, c: Calibration, pads: Pads = Pads(), built: DataFrame | None = None) -> DataFrame:
     """MS1 points inside the selection polygon; a ring that covers no scan gates nothing."""
-    gate = polygon_gate_table(points.sparkSession, ring, num_scans, c, pads)
+    gate = built if built is not None else polygon_gate_table(points.sparkSession, ring, num_scans, c, pads)
     return points if gate is None else _within(points, gate, num_scans, open_if_empty=True)
 
 

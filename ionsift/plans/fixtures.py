@@ -52,6 +52,14 @@ def dia_windows(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(WINDOWS, "window_group long, scan_begin int, scan_end int, isolation_mz double, isolation_width double")
 
 
+def listed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window for each row of ``lineitem``: overlapping, repeated, empty and incomplete ones too."""
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(
+        "CAST(l_suppkey AS LONG) AS frame_id", "CAST(l_orderkey % 128 AS INT) AS scan_begin", "CAST(l_orderkey % 128 + l_linenumber - 1 AS INT) AS scan_end",
+        "CAST(CASE WHEN l_partkey % 7 <> 0 THEN 300 + 25 * (l_partkey % 16) END AS DOUBLE) AS isolation_mz", "CAST(25 AS DOUBLE) AS isolation_width",
+    )
+
+
 def pasef_windows(frames_: DataFrame) -> DataFrame:
     """For MS/MS frames one window each; eight neighbouring frames share a precursor."""
     begin = (F.expr("(16 * (frame_id div 8)) % 96 + frame_id % 3")).cast("int")

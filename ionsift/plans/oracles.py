@@ -55,6 +55,8 @@ def merged(out: str, src: str, by: str) -> str:
 
 DIA = "windows(window_group, scan_begin, scan_end, mz, width) AS (VALUES (1, 0, 40, 400.0, 300.0), (1, 40, 80, 800.0, 300.0), (2, 10, 50, 400.0, 300.0), (2, 60, 100, 1200.0, 300.0), (3, 5, 30, 400.0, 300.0), (3, 20, 70, 800.0, 300.0), (3, 90, 90, 1200.0, 300.0))"
 DIA_FRAMES = merged("groups", "windows", "window_group") + ",\n iv AS (SELECT frame_id, scan_begin, scan_end FROM frames JOIN groups ON window_group = frame_id % 4 WHERE ms_ms_type <> 0 AND frame_id % 16 <> 13)"
+LISTED = """listed AS (SELECT CAST(l_suppkey AS BIGINT) AS frame_id, CAST(l_orderkey % 128 AS INTEGER) AS scan_begin, CAST(l_orderkey % 128 + l_linenumber - 1 AS INTEGER) AS scan_end,
+  CAST(CASE WHEN l_partkey % 7 <> 0 THEN 300 + 25 * (l_partkey % 16) END AS DOUBLE) AS isolation_mz, CAST(25 AS DOUBLE) AS isolation_width FROM lineitem)"""
 PASEF = "pasef AS (SELECT frame_id, CAST((16 * (frame_id // 8)) % 96 + frame_id % 3 AS INTEGER) AS scan_begin, CAST((16 * (frame_id // 8)) % 96 + frame_id % 3 + 25 AS INTEGER) AS scan_end, 1 + frame_id // 8 AS precursor FROM frames WHERE ms_ms_type <> 0)"
 MS1 = "ms1 AS (SELECT pts.* FROM pts SEMI JOIN (FROM frames WHERE ms_ms_type = 0) f USING (frame_id))"
 MS2 = "ms2 AS (SELECT pts.* FROM pts SEMI JOIN (FROM frames WHERE ms_ms_type <> 0) f USING (frame_id))"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,26 +15,35 @@ from ionsift.operators.centroid import box_centroid, watershed
 COLUMNS = ["frame_id", "scan", "tof", "intensity"]
 
 
-def _ms1(points: DataFrame, frames: DataFrame, geo: Geometry, plan: Plan, num_scans: int) -> DataFrame:
+@dataclass
+class Built:
+    """What a run's frames share, if it was built before: cells that survive by precursor, and gates by scan."""
+
+    cells: DataFrame | None = None
+    boxes: DataFrame | None = None
+    polygon: DataFrame | None = None
+
+
+def _ms1(points: DataFrame, frames: DataFrame, geo: Geometry, plan: Plan, num_scans: int, built: Built) -> DataFrame:
     s = plan.stages
     if s.frame_half_width:
         out = filters.neighbourhood_filter(points, frames, s.frame_half_width, plan.streak, s.halo)
     else:
         out = filters.clean(points, plan.streak, s.halo)
     if s.dia_ms1 and geo.calibration and geo.dia_boxes is not None:
-        out = gates.dia_ms1_gate(out, geo.dia_boxes, num_scans, geo.calibration, s.dia_ms1)
+        out = gates.dia_ms1_gate(out, geo.dia_boxes, num_scans, geo.calibration, s.dia_ms1, built.boxes)
     if s.ms1_polygon and geo.calibration and geo.dia_windows is None:
-        out = gates.polygon_gate(out, geo.polygon, num_scans, geo.calibration, s.ms1_polygon)
+        out = gates.polygon_gate(out, geo.polygon, num_scans, geo.calibration, s.ms1_polygon, built.polygon)
     return out
 
 
-def _msms(points: DataFrame, geo: Geometry, plan: Plan) -> tuple[DataFrame, bool]:
+def _msms(points: DataFrame, geo: Geometry, plan: Plan, built: Built) -> tuple[DataFrame, bool]:
     """MS/MS survivors, and whether they were filtered as spectra of their own (then smoothing and centroiding apply)."""
     s = plan.stages
     dda = geo.pasef_windows is not None and s.denoise_msms is not None
     dia = geo.dia_windows is not None and s.denoise_msms is not None
     if dda:
-        out, own = filters.precursor_filter(points, geo.pasef_windows, s.denoise_msms, s.halo), False
+        out, own = filters.precursor_filter(points, geo.pasef_windows, s.denoise_msms, s.halo, built.cells), False
     elif dia or s.all_frames:
         knobs = s.denoise_msms if dia else plan.streak
         if s.dia_per_window and geo.dia_windows is not None:
@@ -58,14 +69,14 @@ def emitted_frames(frames: DataFrame, plan: Plan, sample: tuple[float, int] | No
     return out.join(taken, "frame_id", "left").withColumn("processed", F.coalesce("processed", F.lit(False)))
 
 
-def denoise(points: DataFrame, frames: DataFrame, plan: Plan = Plan(), geo: Geometry | None = None, num_scans: int | None = None, sample: tuple[float, int] | None = None) -> DataFrame:
+def denoise(points: DataFrame, frames: DataFrame, plan: Plan = Plan(), geo: Geometry | None = None, num_scans: int | None = None, sample: tuple[float, int] | None = None, built: Built | None = None) -> DataFrame:
     """``frame_id, scan, tof, intensity`` of what the run keeps.
 
     Gates and crops come after the noise filters, since they must not change whose neighbour a point is. The
     retention-time crop and the sample hold back frames from the output only: they still feed sums across frames.
-    Without those sums they are applied first, where a scan can take them.
+    Without those sums they are applied first, where a scan can take them. ``built`` holds shared tables made before.
     """
-    geo, s = geo or Geometry(), plan.stages
+    geo, s, built = geo or Geometry(), plan.stages, built or Built()
     if num_scans is None:
         num_scans = frames.agg(F.coalesce(F.max("num_scans"), F.lit(0)).alias("n")).first()["n"]
     flags = emitted_frames(frames, plan, sample)
@@ -79,8 +90,8 @@ def denoise(points: DataFrame, frames: DataFrame, plan: Plan = Plan(), geo: Geom
     ms1, ms2 = tagged.where("__ms1").drop("__ms1"), tagged.where("not __ms1").drop("__ms1")
     own = False
     if not plan.crop_only:
-        ms1 = _ms1(ms1, frames, geo, plan, num_scans)
-        ms2, own = _msms(ms2, geo, plan)
+        ms1 = _ms1(ms1, frames, geo, plan, num_scans, built)
+        ms2, own = _msms(ms2, geo, plan, built)
     if held_back and crosses:
         ms1, ms2 = (x.join(shown.select("frame_id"), "frame_id", "left_semi") for x in (ms1, ms2))
 

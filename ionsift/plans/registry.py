@@ -79,9 +79,9 @@ def smooth_iter2(spark, d):
     return rewrite.smooth(fx.points(spark, d), Smooth(iterations=2))
 
 
-@query(o.query(o.PTS, o.frames(), "n AS (SELECT count(*) AS n FROM frames WHERE frame_id < 5)", select="SELECT scan, tof, CAST((s + n // 2) // n AS BIGINT) AS intensity FROM (SELECT scan, tof, sum(intensity) AS s FROM pts WHERE frame_id < 5 AND frame_id IN (SELECT frame_id FROM frames) GROUP BY scan, tof), n WHERE (s + n // 2) // n > 0"))
+@query(o.query(o.PTS, o.frames(), "n AS (SELECT count(*) AS n FROM frames)", select="SELECT scan, tof, CAST((s + n // 2) // n AS BIGINT) AS intensity FROM (SELECT scan, tof, sum(intensity) AS s FROM pts WHERE frame_id IN (SELECT frame_id FROM frames) GROUP BY scan, tof), n WHERE (s + n // 2) // n > 0"))
 def running_average(spark, d):
-    return rewrite.running_average(fx.cells(spark, d), fx.frames(spark, d).where("frame_id < 5"))
+    return rewrite.running_average(fx.cells(spark, d), fx.frames(spark, d))
 
 
 @query(o.query(o.PTS, o.frames(), o.PLACES, o.CENTRED, o.streak("k", "centred", 1, 2, 5, by="centre"), select="SELECT p.frame_id, p.scan, p.tof, p.intensity FROM pts p SEMI JOIN k ON k.centre = p.frame_id AND k.scan = p.scan AND k.tof = p.tof"))
@@ -104,9 +104,9 @@ def per_window_filter(spark, d):
     return filters.per_window_filter(_level(spark, d, False), _intervals(spark, d), Streak(iterations=1)).select(*COLS)
 
 
-@query(o.query(o.DIA, o.merged("g", "windows", "window_group"), select="SELECT CAST(window_group AS BIGINT) AS window_group, scan_begin, scan_end FROM g"))
+@query(o.query(o.LISTED, o.merged("g", "listed", "frame_id"), select="SELECT frame_id, scan_begin, scan_end FROM g"))
 def interval_merge(spark, d):
-    return gates.merge_intervals(fx.dia_windows(spark), ("window_group",))
+    return gates.merge_intervals(fx.listed_windows(spark, d), ("frame_id",))
 
 
 @query(o.query(o.frames(8), o.PASEF, o.merged("g", "pasef", "frame_id"), select="SELECT frame_id, scan_begin, scan_end FROM g"))
@@ -119,9 +119,9 @@ def dia_windows(spark, d):
     return _intervals(spark, d)
 
 
-@query(o.query(o.DIA, select="SELECT DISTINCT scan_begin, scan_end, CAST(mz - width / 2 AS DOUBLE) AS mz_lo, CAST(mz + width / 2 AS DOUBLE) AS mz_hi FROM windows WHERE scan_end > scan_begin"))
+@query(o.query(o.LISTED, select="SELECT DISTINCT scan_begin, scan_end, isolation_mz - isolation_width / 2 AS mz_lo, isolation_mz + isolation_width / 2 AS mz_hi FROM listed WHERE scan_end > scan_begin AND isolation_mz IS NOT NULL"))
 def dia_boxes(spark, d):
-    return gates.dia_boxes(fx.dia_windows(spark))
+    return gates.dia_boxes(fx.listed_windows(spark, d))
 
 
 @query(o.query(o.PTS, select=f"SELECT {o.COLS} FROM {o.cropped('pts')}"))

@@ -1,6 +1,7 @@
 """Records, run folders, the command line and streams."""
 
 import os
+import shutil
 import sqlite3
 import struct
 import threading
@@ -8,6 +9,7 @@ import time
 
 import numpy as np
 import pytest
+import zstandard
 
 from ionsift import cli, model
 from ionsift.model import Plan, Stages, Streak
@@ -28,9 +30,16 @@ def test_record_errors():
     none = np.zeros(0, np.int64)
     assert tdf.encode_record(512, none, none, none) == struct.pack("<II", 8, 512)
     good = tdf.encode_record(5, np.array([1]), np.array([1]), np.array([1]))
-    for bad in (b"1234567", struct.pack("<I", 99) + good[4:20], struct.pack("<I", 4) + good[4:], struct.pack("<II", 8, 512)):
-        with pytest.raises(tdf.RecordError):
+    payload = lambda *values: zstandard.ZstdCompressor().compress(np.array(values, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    record = lambda data: struct.pack("<II", 8 + len(data), 5) + data
+    for bad, kind in (
+        (b"1234567", tdf.ShortRecordError), (struct.pack("<I", 99) + good[4:20], tdf.ByteCountError), (struct.pack("<I", 4) + good[4:], tdf.ByteCountError),
+        (struct.pack("<II", 8, 512), tdf.CompressionError), (record(b"not zstd"), tdf.CompressionError), (record(zstandard.ZstdCompressor().compress(b"12345")), tdf.MisalignedError),
+        (record(payload(9, 0, 0)), tdf.ScanCountError), (record(payload(2, 40, 1, 1)), tdf.ScanCountError),
+    ):
+        with pytest.raises(kind) as e:
             tdf.decode_record(bad)
+        assert isinstance(e.value, tdf.RecordError)
     with pytest.raises(ValueError):
         tdf.encode_record(5, np.array([5]), np.array([1]), np.array([1]))
 
@@ -114,10 +123,148 @@ def test_frames_pulled_one_by_one(spark, run_folder, tmp_path):
     summed = RunContext(spark, run_folder, Plan(stages=Stages(frame_half_width=1)))
     whole = points_of(denoise(tdf.read_points(spark, run_folder), tdf.read_frames(spark, run_folder), summed.plan))
     assert points_of(summed.process(4)) == [p for p in whole if p[0] == 5] != []
+    assert summed.ms1_frames == 3 and not summed.is_empty() and summed.calibration is None
     with pytest.raises(ValueError):
         RunContext(spark, run_folder, Plan(crop=model.Crop(rt_max=1.0)))
 
 
+def make_run(path, frames, extra=()):
+    """A run folder of (id, MS/MS type, points); ``extra``: (table and columns, rows)."""
+    path.mkdir()
+    db = sqlite3.connect(path / "analysis.tdf")
+    db.execute("CREATE TABLE Frames (Id, NumScans, NumPeaks, MsMsType, Time, TimsId, MaxIntensity, SummedIntensities)")
+    db.execute("CREATE TABLE GlobalMetadata (Key, Value)")
+    blob = b"h" * 16
+    for i, kind, pts in frames:
+        record = tdf.encode_record(64, *np.array(pts, np.int64).reshape(-1, 3).T)
+        db.execute("INSERT INTO Frames VALUES (?, 64, ?, ?, ?, ?, 0, 0)", (i, len(pts), kind, i * 6.0, len(blob)))
+        blob += record
+    for table, rows in extra:
+        db.execute(f"CREATE TABLE {table}")
+        db.executemany(f"INSERT INTO {table.split()[0]} VALUES ({','.join('?' * len(rows[0]))})", rows)
+    db.commit()
+    db.close()
+    (path / "analysis.tdf_bin").write_bytes(blob)
+    return str(path)
+
+
+def clumps(seed, n=140):
+    r = np.random.default_rng(seed)
+    return np.unique(np.stack([r.integers(0, 64, n), 50 + r.integers(0, 3, n) * 9 + r.integers(0, 2, n), r.integers(1, 50, n)], 1), axis=0).tolist()
+
+
+@pytest.fixture
+def dda_folder(tmp_path):
+    """Eight frames, two of them MS1; precursors are spread over frames, some scans have none, some windows precursor 0."""
+    windows = [(i, 4 * k, 4 * k + 9 + i % 3, [3, 7, 0, 9][k % 4]) for i in (2, 3, 4, 6, 7, 8) for k in (1, 4, 7, 10)]
+    return make_run(tmp_path / "dda.d", [(i, 0 if i in (1, 5) else 8, clumps(i) if i != 8 else []) for i in range(1, 9)], [("PasefFrameMsMsInfo (Frame, ScanNumBegin, ScanNumEnd, Precursor)", windows)])
+
+
+def test_pulled_frames_of_summed_precursors(spark, dda_folder, tmp_path, monkeypatch):
+    """ddaPASEF: a pulled frame is what the writer keeps of it, and reads only its own records and its precursors' buckets."""
+    monkeypatch.setattr(RunContext, "BUCKET", 100)
+    out = str(tmp_path / "out.d")
+    flags = ["--denoise-msms", "--msms-min-feature-length", "2", "--halo-mz-idx-half-width", "3", "--dda-window"]
+    cli.run(spark, cli.parse([dda_folder, out, *flags]))
+    plan = model.resolve({"denoise_msms": True, "msms_min_feature_length": 2, "halo_mz_idx_half_width": 3, "dda_window": True})
+    with RunContext(spark, dda_folder, plan) as run:
+        pulled = [points_of(run.process(i)) for i in range(len(run))]
+        want = points_of(tdf.read_points(spark, out))
+        assert sum(pulled, []) == want and 0 < sum(p[0] in (2, 3, 4) for p in want) < 400
+        every = [(run.meta[i].frame_id, *p) for i, frame in run.frames() for p in frame.itertuples(index=False, name=None)]
+        assert every == want
+        cells = run.built.cells.where("precursor in (3)")._jdf.queryExecution().executedPlan().toString()
+        assert "PushedFilters: [IsNotNull(precursor), EqualTo(precursor,3)]" in cells
+        assert [c.name for c in spark.catalog.listColumns(run.tables[0]) if c.isBucket] == ["precursor"]
+        damage(dda_folder, 6)
+        assert points_of(run.process(1)) == pulled[1]
+        with pytest.raises(Exception, match="zstd"):
+            run.process(5).collect()
+        names = list(run.tables)
+    assert names and not any(spark.catalog.tableExists(t) for t in names)
+
+
+def damage(folder, frame):
+    """Overwrites the payload of a frame's record."""
+    db = sqlite3.connect(f"{folder}/analysis.tdf")
+    at = db.execute("SELECT TimsId FROM Frames WHERE Id = ?", (frame,)).fetchone()[0]
+    db.close()
+    with open(f"{folder}/analysis.tdf_bin", "r+b") as f:
+        f.seek(at + 8)
+        f.write(b"\0" * 12)
+
+
+def test_pulled_frames_under_gates(spark, tmp_path):
+    """Box gate, polygon gate, window gate and per-window filter: pulled frames equal the written run."""
+    c = model.Calibration(10.0, 0.2, 1.6, -0.01)
+    dia = [("DiaFrameMsMsInfo (Frame, WindowGroup)", [(2, 1), (4, 2)]), ("DiaFrameMsMsWindows (WindowGroup, ScanNumBegin, ScanNumEnd, IsolationMz, IsolationWidth)", [(1, 0, 20, 430.0, 40.0), (1, 25, 50, 480.0, 40.0), (2, 10, 40, 500.0, 40.0)])]
+    ring = [struct.pack("<4d", *x) for x in ((400.0, 600.0, 600.0, 400.0), (1.0, 1.0, 1.5, 1.5))]
+    polygon = [("PropertyDefinitions (Id, PermanentName)", [(1, "IMS_PolygonFilter_Mass"), (2, "IMS_PolygonFilter_Mobility")]), ("GroupProperties (Property, Value)", [(1, ring[0]), (2, ring[1])])]
+    for name, extra, flags in (("dia", dia, {"all_frames": True, "dia_ms1_im_pad": 0.0, "dia_ms1_mz_pad": 0.5}), ("poly", polygon, {"ms1_polygon_mz_pad": 0.0, "frame_half_width": 1})):
+        folder = make_run(tmp_path / f"{name}.d", [(i, 0 if i in (1, 3, 5) else 9, clumps(i, 400)) for i in range(1, 6)], extra)
+        plan = model.resolve(flags | {"min_feature_length": 3, "halo_mz_idx_half_width": 2})
+        whole = denoise(tdf.read_points(spark, folder), tdf.read_frames(spark, folder), plan, tdf.geometry(spark, folder, c))
+        with RunContext(spark, folder, plan, tdf.geometry(spark, folder, c)) as run:
+            assert run.calibration == c
+            pulled = sum((points_of(run.process(i)) for i in range(5)), [])
+            assert pulled == points_of(whole) and 0 < len([p for p in pulled if p[0] % 2]) < tdf.read_points(spark, folder).where("frame_id % 2 = 1").count()
+
+
+def test_only_named_frames_are_read(spark, run_folder):
+    """Frames that are not asked for are neither listed nor read: a damaged one elsewhere does no harm."""
+    assert tdf.frame_list([9, 3, 7, 8, 3]) == "3,7-9" and tdf.frame_list([]) == ""
+    want = points_of(tdf.read_points(spark, run_folder))
+    damage(run_folder, 4)
+    for some in ([1, 2, 5], [1], [6, 5], []):
+        assert points_of(tdf.read_points(spark, run_folder, some)) == [p for p in want if p[0] in some]
+    one, two = (tdf.read_points(spark, run_folder, f) for f in ([1, 2], [5]))
+    assert points_of(one.unionAll(two)) == points_of(one.unionAll(two.where("frame_id = 5"))) == [p for p in want if p[0] in (1, 2, 5)]
+    # conditions on the table itself
+    pruned = lambda: tdf.read_points(spark, run_folder, pruned=True)
+    assert points_of(pruned().where("frame_id in (1, 2, 5)")) == [p for p in want if p[0] in (1, 2, 5)]
+    assert points_of(pruned().where("frame_id = 5")) == [p for p in want if p[0] == 5]
+    assert points_of(pruned().where("frame_id > 0 and frame_id <= 2 and intensity > 5")) == [p for p in want if p[0] <= 2 and p[3] > 5]
+    assert pruned().where("frame_id is null").count() == 0 and pruned().where("frame_id in (77)").count() == 0
+    for broken in (pruned().where("frame_id >= 3"), tdf.read_points(spark, run_folder, [4]), tdf.read_points(spark, run_folder).where("frame_id = 5")):
+        with pytest.raises(Exception, match="zstd"):
+            broken.collect()
+    reader = tdf.PrunedReader({"path": run_folder, "bytes_per_partition": "1"})
+    assert [[f for f, _ in p.frames] for p in reader.partitions()] == [[1], [2], [4], [5], [6]]
+    assert len(tdf.TdfReader({"path": run_folder}).partitions()) == 1
+
+
+def test_record_commit(run_folder, tmp_path):
+    """Attempts that run again change nothing; a missing, doubled or misplaced record stops the commit and leaves no file."""
+    rows = [(i, 64 + 20 * (i - 1), bytes([i]) * 20, 1, 2, 3) for i in range(1, 7)]
+
+    def writer():
+        (tmp_path / "w").mkdir(exist_ok=True)
+        shutil.copy(f"{run_folder}/analysis.tdf", tmp_path / "w/analysis.tdf")
+        (tmp_path / "w/analysis.tdf_bin.part").write_bytes(b"h" * 64 + bytes(120))
+        return tdf.RecordWriter(str(tmp_path / "w"), 64, list(range(6)))
+
+    def lost(some):
+        yield from some
+        raise OSError("the executor is lost")
+
+    w = writer()
+    with pytest.raises(OSError):
+        w.write(lost(rows[:2]))
+    messages = [w.write(iter(rows[:3])), None, w.write(iter(rows[3:]))]
+    w.write(iter(rows[:3]))  # an attempt that is late
+    w.commit(messages)
+    assert (tmp_path / "w/analysis.tdf_bin").read_bytes() == b"h" * 64 + b"".join(r[2] for r in rows)
+    assert sqlite3.connect(tmp_path / "w/analysis.tdf").execute("SELECT TimsId, NumPeaks, MaxIntensity, SummedIntensities FROM Frames WHERE Id = 2").fetchone() == (84, 1, 2, 3)
+    os.remove(tmp_path / "w/analysis.tdf_bin")
+    for bad in (rows[:5], rows + rows[:1], [*rows[:5], (6, 165, *rows[5][2:])], [*rows[:5], (6, 164, b"x" * 19, 1, 2, 3)]):
+        w = writer()
+        messages = [w.write(iter(bad))]
+        with pytest.raises(tdf.RecordError):
+            w.commit(messages)
+        w.abort(messages)
+        assert not [f for f in os.listdir(tmp_path / "w") if "bin" in f]
+
+
 def test_cross_check(spark, run_folder):
     assert tdf.cross_check(spark, run_folder).count() == 0
     db = sqlite3.connect(f"{run_folder}/analysis.tdf")
@@ -126,6 +273,23 @@ def test_cross_check(spark, run_folder):
         db.execute("UPDATE Frames SET NumScans = 99 WHERE Id = 4")
     db.close()
     assert sorted(map(tuple, tdf.cross_check(spark, run_folder).collect())) == [(2, "point count"), (4, "scan count")]
+    damage(run_folder, 5)
+    assert [r.problem[:16] for r in tdf.cross_check(spark, run_folder).where("frame_id = 5").collect()] == ["CompressionError"]
+
+
+def test_prints_tell_points_apart():
+    """Fingerprints don't depend on the order, and any change of a point, or a swap between two, shows."""
+    a = np.array(clumps(3)).T
+    base = tdf._prints(*a).sum(1)
+    assert (tdf._prints(*a[:, ::-1]).sum(1) == base).all() and (tdf._prints(*a) < 2**32).all()
+    for row in range(3):
+        for k in range(a.shape[1]):
+            b = a.copy()
+            b[row, k] += 1
+            assert (tdf._prints(*b).sum(1) != base).any()
+    b = a.copy()
+    b[2, :2] = b[2, 1::-1]
+    assert a[2, 0] == a[2, 1] or (tdf._prints(*b).sum(1) != base).any()
 
 
 def test_writer_keeps_what_is_there(spark, run_folder, tmp_path):
@@ -149,7 +313,7 @@ def test_writer_keeps_what_is_there(spark, run_folder, tmp_path):
 def test_progress_and_cancel(spark, run_folder, tmp_path):
     seen = []
     cli.run(spark, cli.parse([run_folder, str(tmp_path / "a.d")]), Control(spark, lambda done, total: seen.append((done, total)), 0.02))
-    assert seen[-1][0] > 0 and all(d <= t for d, t in seen) and [d for d, _ in seen] == sorted(d for d, _ in seen)
+    assert seen[-1] == (6, 6) and all(d <= t for d, t in seen) and [d for d, _ in seen] == sorted(d for d, _ in seen)
     control = Control(spark)
     threading.Timer(0.5, control.cancel).start()
     with pytest.raises(Cancelled), control:
