@@ -30,8 +30,10 @@ HINT = {"email": r"@[A-Za-z0-9-]++\.", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]",
 HAS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 #: High-recall generators of further candidates; those of one kind may overlap, and so may kinds.
 MORE = {
+    # one sign at least must be written out as such: a bare " at " with a bare "." is how any sentence ends
     "email": (
-        r"[A-Za-z0-9._%+-]{1,64}\s?(?:\(at\)|\[at\]|\{at\}| at )\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.)\s?[A-Za-z]{2,24}){1,3}",
+        r"[A-Za-z0-9._%+-]{1,64}\s?(?:\(at\)|\[at\]|\{at\})\s?[A-Za-z0-9-]{1,63}(?:(?:\s?(?:\(dot\)|\[dot\]|\{dot\})\s?| dot |\.)[A-Za-z]{2,24}){1,3}",
+        r"[A-Za-z0-9._%+-]{1,64} at [A-Za-z0-9-]{1,63}(?:(?:\s?(?:\(dot\)|\[dot\]|\{dot\})\s?| dot )[A-Za-z]{2,24}){1,3}",
         r"[A-Za-z0-9._%+-]{1,64}(?:\x20@\x20?|@\x20)[A-Za-z0-9-]{1,63}(?:\x20?\.\x20?[A-Za-z0-9-]{2,24}){1,3}",
     ),
     "ip": (
@@ -47,8 +49,8 @@ MORE = {
         r"(?<![0-9+])00[1-9][0-9]{0,2}[\x20./-]?[0-9]{2,4}[\x20./-]?[0-9]{3,4}[\x20./-]?[0-9]{2,4}(?![0-9])",
     ),
 }
-MORE_HINT = {"email": r"[(\[{ ]at[)\]} ]|\x20@|@\x20", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:|[0-9]\x20?(?:\[\.\]|\(\.\)|\[dot\])", "card": r"[0-9]{4}[./\x20-]{1,3}[0-9]{4}[./\x20-]{1,3}[0-9]{4}|3[47][0-9]{2}[./\x20-]{1,3}[0-9]{6}", "phone": r"[0-9]\)?[\x20./-]{1,2}[0-9]{2,4}[\x20./-][0-9]{3}|(?<![0-9+])00[1-9][0-9]"}
-MORE_HAS = {"email": "at) at] at} at @", "ip": ": .] .) dot]", "card": "", "phone": ""}
+MORE_HINT = {"email": r"[(\[{]at[)\]}]|\x20at\x20[A-Za-z0-9-]+(?:\s?[(\[{]|\x20)dot|\x20@|@\x20", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:|[0-9]\x20?(?:\[\.\]|\(\.\)|\[dot\])", "card": r"[0-9]{4}[./\x20-]{1,3}[0-9]{4}[./\x20-]{1,3}[0-9]{4}|3[47][0-9]{2}[./\x20-]{1,3}[0-9]{6}", "phone": r"[0-9]\)?[\x20./-]{1,2}[0-9]{2,4}[\x20./-][0-9]{3}|(?<![0-9+])00[1-9][0-9]"}
+MORE_HAS = {"email": "at) at] at} dot @", "ip": ": .] .) dot]", "card": "", "phone": ""}
 BEFORE, AFTER = 40, 12
 #: Words before or after a span that speak for a kind of personal data.
 CONTEXT = {

@@ -68,7 +68,8 @@ def candidates(seed: int = SEED, n: int = PER_KIND) -> list[tuple[str, str, str,
 
     def negative(kind: str) -> str:
         if kind == "email":
-            return r.choice([f"{word()} at {word()}{r.choice(['. ', '.'])}{word()}", f"{num(1)} @ {num(1)}.{num(2)}", f"{word()} @ {num(2)}.{num(2)}", f"{word()} at {word()} dot {word()}"])
+            o, c = r.choice(["()", "[]", "{}"])
+            return r.choice([f"{word()} {o}at{c} {word()}.{word()}", f"{num(1)} @ {num(1)}.{num(2)}", f"{word()} @ {num(2)}.{num(2)}", f"{word()} at {word()} dot {word()}"])
         if kind == "ip":
             return r.choice([f"{num(2)}:{num(2)}:{num(2)}:{num(2)}", f"{num(1)}::::", f"{num(2)}:{num(2)}:{num(2)}:", "[.]".join(str(r.randint(256, 999)) for _ in range(4)), f"{num(2)}:{num(2)}:{num(2)}:{num(3)}"])
         if kind == "card":
