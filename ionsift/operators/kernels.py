@@ -20,7 +20,7 @@ from ionsift.model import Halo, Smooth, Streak
 ROWS = 200_000
 
 
-def by_groups(points: DataFrame, by: tuple[str, ...], kernel: Callable[[pa.Table, np.ndarray], pa.Table], schema: StructType | None = None) -> DataFrame:
+def by_groups(points: DataFrame, by: tuple[str, ...], kernel: Callable[[pa.Table, np.ndarray], pa.Table], schema: StructType | str | None = None) -> DataFrame:
     """Applies ``kernel(points, group numbers)`` to whole groups of ``by``; nulls of ``by`` are a group too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,6 @@ from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 from ionsift.model import FRAMES, POINTS, Calibration, Geometry
 from ionsift.operators import gates
+from ionsift.operators.kernels import by_groups
 
 #: Bytes of a record's header: its length and its scan count, little-endian.
 HEADER = 8
@@ -117,27 +117,39 @@ def encode(points: DataFrame, frames: DataFrame, done=None) -> DataFrame:
 
     ``done``, an accumulator, counts the frames.
     """
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def kernel(table: pa.Table, group: np.ndarray) -> pa.Table:
+        edges = np.r_[np.flatnonzero(np.diff(group, prepend=-1)), len(group)]
+        frames, scans = (table[c].to_numpy() for c in ("frame_id", "num_scans"))
+        real = table["scan"].is_valid().to_numpy()
+        columns = [table[c].fill_null(0).to_numpy().astype(np.int64) for c in ("scan", "tof", "intensity")]
+        out = []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            scan, tof, intensity = (c[a:b][real[a:b]] for c in columns)
+            out.append((int(frames[a]), encode_record(int(scans[a]), scan, tof, intensity), len(scan), int(intensity.max(initial=0)), int(intensity.sum())))
         if done is not None:
-            done.add(1)
-        scan, tof, intensity = (pdf.dropna(subset=["scan"])[c].to_numpy(np.int64) for c in ("scan", "tof", "intensity"))
-        record = encode_record(int(pdf["num_scans"].iloc[0]), scan, tof, intensity)
-        return pd.DataFrame({"frame_id": [key[0]], "record": [record], "num_peaks": [len(scan)], "max_intensity": [int(intensity.max(initial=0))], "summed_intensities": [int(intensity.sum())]})
+            done.add(len(out))
+        kinds = [pa.int64(), pa.binary(), *[pa.int64()] * 3]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["frame_id", "record", "num_peaks", "max_intensity", "summed_intensities"])
 
     rows = frames.select("frame_id", "num_scans").join(points.select("frame_id", "scan", "tof", "intensity"), "frame_id", "left")
-    return rows.groupBy("frame_id").applyInPandas(run, RECORDS)
+    return by_groups(rows, ("frame_id",), kernel, RECORDS)
 
 
 def decode(records: DataFrame) -> DataFrame:
     """Points of ``frame_id, record`` rows."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for frame, record in zip(pdf["frame_id"], pdf["record"]):
-                if len(record) > HEADER:
-                    _, scan, tof, intensity = decode_record(bytes(record))
-                    yield pd.DataFrame({"frame_id": frame, "point_id": np.arange(1, len(scan) + 1), "scan": scan, "tof": tof, "intensity": intensity})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for frame, record in zip(batch.column("frame_id").to_pylist(), batch.column("record")):
+                if len(raw := record.as_py()) > HEADER:
+                    yield _as_points(frame, raw)
+
+    return records.select("frame_id", "record").mapInArrow(run, POINTS)
+
 
-    return records.mapInPandas(run, POINTS)
+def _as_points(frame: int, record: bytes) -> pa.RecordBatch:
+    _, scan, tof, intensity = decode_record(record)
+    n = len(scan)
+    return pa.record_batch([pa.array(np.full(n, frame)), pa.array(np.arange(1, n + 1)), pa.array(scan.astype(np.int32)), pa.array(tof), pa.array(intensity)], names=["frame_id", "point_id", "scan", "tof", "intensity"])
 
 
 def _connect(path: str) -> sqlite3.Connection:
@@ -263,11 +275,8 @@ class TdfReader(DataSourceReader):
         return [_Frames(p) for p in out]
 
     def read(self, partition: _Frames) -> Iterator[pa.RecordBatch]:
-        names = ["frame_id", "point_id", "scan", "tof", "intensity"]
         for frame, record in _records(self.path, partition.frames):
-            _, scan, tof, intensity = decode_record(record)
-            n = len(scan)
-            yield pa.record_batch([pa.array(np.full(n, frame)), pa.array(np.arange(1, n + 1)), pa.array(scan.astype(np.int32)), pa.array(tof), pa.array(intensity)], names=names)
+            yield _as_points(frame, record)
 
 
 class PrunedReader(TdfReader):
