@@ -188,9 +188,9 @@ def sample(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> tuple[list[b
     for label, n in ((1, how.toxic), (0, how.ordinary)):
         drawn += marked.where(F.col("toxic") == label).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(2 * n).select("doc_id", "toxic", "h").collect()
     few = spark.createDataFrame([tuple(r) for r in drawn], "doc_id long, toxic int, h long")
-    got = docs.select("doc_id", "text").where(F.length("text") <= how.longest).join(F.broadcast(few), "doc_id").collect()
-    by_id = {r.doc_id: r for r in got}
-    rows = sorted(by_id.values(), key=lambda r: (r.h, r.doc_id))
+    found = docs.select("doc_id", "text").where(F.length("text") <= how.longest).join(F.broadcast(few), "doc_id")
+    # an id that many rows repeat gives one text, the smallest, whatever its number of rows
+    rows = sorted(found.groupBy("doc_id", "toxic", "h").agg(F.min("text").alias("text")).collect(), key=lambda r: (r.h, r.doc_id))
     toxic, ordinary = ([r.text.encode() for r in rows if r.toxic == label][:n] for label, n in ((1, how.toxic), (0, how.ordinary)))
     there = marked.agg(F.count_if(F.col("toxic") == 0).alias("no"), F.count_if(F.col("toxic") == 1).alias("yes")).first()
     rarer = there.no / max(1, there.yes) * len(toxic) / max(1, len(ordinary))

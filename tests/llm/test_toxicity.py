@@ -43,6 +43,24 @@ def test_edges(spark):
     assert toxicity.classify(df.where(F.lit(False)), few).count() == 0
 
 
+def test_edges_under_a_fitted_model(spark):
+    """Null, empty, very long and repeated texts get a score from real dictionaries; equal texts the same one."""
+    data = rows(400, 3)
+    toxic = next(t for _, t, y in data if y)
+    more = [(9001, None), (9002, ""), (9003, " \n"), (9004, "on the re he in " * 20_000), (9005, ("on the re he in " * 2_000) + toxic), (None, toxic), (9006, toxic), (9006, toxic)]
+    df = spark.createDataFrame([(i, t) for i, t, _ in data] + [(i, data[i][1]) for i in (1, 2, 3)] * 40 + more, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, toxic int")
+    got = toxicity.classify(df, labels).collect()
+    assert len(got) == 520 + 8 and all(0 <= r.score <= 1 for r in got)
+    by_text = {}
+    for r in got:
+        assert by_text.setdefault(r.text or "", r.score) == r.score
+    of = {r.doc_id: r.score for r in got}
+    assert max(of[9001], of[9002], of[9003], of[9004]) < 0.5 <= of[9006] == of[None] and of[9001] == of[9002]
+    toxic_, ordinary, _ = toxicity.sample(df, labels)
+    assert len(toxic_) + len(ordinary) == sum(1 for i, *_ in data if __import__("zlib").crc32(str(i).encode()) % 5)
+
+
 def test_scores_against_plain_version(spark):
     """Scores by compressing each window on its own, without batches or prepared dictionaries."""
     import zstandard as zs
