@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionsift.model import FRAMES, Calibration, Geometry, Plan
+from ionsift.model import Calibration, Geometry, Plan
 from ionsift.operators import filters, gates
 from ionsift.plans.pipeline import Built, denoise
 from ionsift.sources import tdf
@@ -91,7 +91,6 @@ class RunContext:
         self.frames_ = tdf.read_frames(spark, path)
         self.geometry = geometry if geometry is not None else tdf.geometry(spark, path)
         self.meta = self.frames_.orderBy("frame_id").collect()
-        self.index = {m.frame_id: k for k, m in enumerate(self.meta)}
         self.ms1 = [m.frame_id for m in self.meta if m.ms_ms_type == 0]
         self.place = {frame: k for k, frame in enumerate(self.ms1)}
         self.windows = [self._listed(df) for df in (self.geometry.pasef_windows, self.geometry.dia_windows)]
@@ -178,7 +177,7 @@ class RunContext:
         if built.cells is not None:
             ids = {r.precursor for r in self.windows[0].get(own.frame_id, []) if r.precursor}
             built = replace(built, cells=built.cells.where(F.col("precursor").isin(sorted(ids))))
-        frames = self.spark.createDataFrame([self.meta[self.index[f]] for f in some], FRAMES)
+        frames = self.frames_.where(F.col("frame_id").isin(some))
         kept = denoise(tdf.read_points(self.spark, self.path, some), frames, self.plan, geo, self.num_scans, built=built)
         return kept.where(F.col("frame_id") == own.frame_id)
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, WriterCommitMessage
 
-from ionsift.model import FRAMES, POINTS, Calibration, Geometry
+from ionsift.model import POINTS, Calibration, Geometry
 from ionsift.operators import gates
 from ionsift.operators.kernels import by_groups
 
@@ -168,13 +168,23 @@ def _rows(path: str, sql: str, *needs: str, given: tuple = ()) -> list[tuple]:
         db.close()
 
 
+def _local(spark: SparkSession, rows: list[tuple], **kinds: pa.DataType) -> DataFrame:
+    """A metadata table whose size Spark knows, so that it broadcasts a small one to the points and shuffles for a large one."""
+    columns = list(zip(*rows)) if rows else [()] * len(kinds)
+    return spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, kinds.values())], names=list(kinds)))
+
+
+L, I, D = pa.int64(), pa.int32(), pa.float64()
+
+
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    return spark.createDataFrame([(i, n, p, t, float(s)) for i, n, p, t, s in _rows(path, "SELECT Id, NumScans, NumPeaks, MsMsType, Time FROM Frames ORDER BY Id")], FRAMES)
+    rows = _rows(path, "SELECT Id, NumScans, NumPeaks, MsMsType, CAST(Time AS REAL) FROM Frames ORDER BY Id")
+    return _local(spark, rows, frame_id=L, num_scans=I, num_peaks=L, ms_ms_type=I, rt_seconds=D)
 
 
 def read_pasef_windows(spark: SparkSession, path: str) -> DataFrame:
     rows = _rows(path, "SELECT Frame, ScanNumBegin, ScanNumEnd, coalesce(Precursor, 0) FROM PasefFrameMsMsInfo", "PasefFrameMsMsInfo")
-    return spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "frame_id long, scan_begin int, scan_end int, precursor long, event long")
+    return _local(spark, [(*r, k) for k, r in enumerate(rows)], frame_id=L, scan_begin=I, scan_end=I, precursor=L, event=L)
 
 
 def read_dia(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -182,7 +192,7 @@ def read_dia(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     both = ("DiaFrameMsMsInfo", "DiaFrameMsMsWindows")
     info = dict(_rows(path, "SELECT Frame, WindowGroup FROM DiaFrameMsMsInfo", *both))
     windows = _rows(path, "SELECT WindowGroup, ScanNumBegin, ScanNumEnd, IsolationMz, IsolationWidth FROM DiaFrameMsMsWindows", *both)
-    return spark.createDataFrame(list(info.items()), "frame_id long, window_group long"), spark.createDataFrame(windows, "window_group long, scan_begin int, scan_end int, isolation_mz double, isolation_width double")
+    return _local(spark, list(info.items()), frame_id=L, window_group=L), _local(spark, windows, window_group=L, scan_begin=I, scan_end=I, isolation_mz=D, isolation_width=D)
 
 
 def read_polygon(path: str) -> list[tuple[float, float]]:
@@ -456,13 +466,12 @@ def _write_records(points: DataFrame, frames: DataFrame, source: str, made: str,
     spark = points.sparkSession
     encode(points, frames, done).write.parquet(staged)
     records = spark.read.schema(RECORDS).parquet(staged)
-    rows = records.select("frame_id", F.length("record").alias("n")).orderBy("frame_id").toPandas()
-    head = header_length(source)
-    rows["at"] = head + rows["n"].cumsum() - rows["n"]
+    rows = records.select("frame_id", F.length("record").cast("long").alias("n")).orderBy("frame_id").toArrow()
+    head, n = header_length(source), rows["n"].to_numpy()
     with open(f"{source}/analysis.tdf_bin", "rb") as f, open(f"{made}/analysis.tdf_bin.part", "wb") as g:
         g.write(f.read(head))
-        g.truncate(head + int(rows["n"].sum()))
-    places = spark.createDataFrame(rows[["frame_id", "at"]].astype(np.int64), "frame_id long, at long")
+        g.truncate(head + int(n.sum()))
+    places = spark.createDataFrame(pa.table({"frame_id": rows["frame_id"], "at": pa.array(head + np.cumsum(n) - n)}))
     spark.dataSource.register(TdfRecords)
     records.join(places, "frame_id").select(*WRITTEN).write.format("tdf_records").option("start", head).mode("append").save(made)
 
@@ -522,7 +531,7 @@ def cross_check(spark: SparkSession, path: str, limit: int | None = None) -> Dat
     agree. No frame's points are listed; only one row of sums for each frame is shuffled.
     """
     rows = _rows(path, "SELECT Id, TimsId, NumScans, NumPeaks FROM Frames WHERE NumPeaks > 0 ORDER BY Id")[:limit]
-    wanted = spark.createDataFrame(rows, "frame_id long, at long, num_scans int, num_peaks long")
+    wanted = _local(spark, rows, frame_id=L, at=L, num_scans=I, num_peaks=L)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,5 +1,6 @@
 """Records, run folders, the command line and streams."""
 
+import json
 import os
 import shutil
 import sqlite3
@@ -69,6 +70,9 @@ def test_run_folder(spark, run_folder, tmp_path):
     a = cli.parse([run_folder, out, "--report", report, "--rt-max", "4.5"])
     done = cli.run(spark, a)
     assert done["stats"]["frames"] == 6 and done["stats"]["cropped_frames"] == 2 and done["acquisition"] == "DiaPasef"
+    written = json.loads((tmp_path / "r.json").read_text())
+    assert written == json.loads(json.dumps(done)) and written["config"]["crop"]["rt_max"] == 4.5 and written["output"] == out and not written["dry_run"]
+    assert written["stats"]["raw_points"] == 45 and 0 < written["stats"]["kept_points"] < 45 and written["elapsed_seconds"] > 0
     assert tdf.validate(spark, run_folder).count() == 0 and tdf.validate(spark, out).count() == 0
     kept = tdf.read_points(spark, out)
     assert kept.where("frame_id = 1").count() == 8 and kept.where("frame_id = 2").count() == 9 and kept.where("frame_id >= 5").count() == 0
@@ -265,6 +269,23 @@ def test_record_commit(run_folder, tmp_path):
         assert not [f for f in os.listdir(tmp_path / "w") if "bin" in f]
 
 
+def test_validate_finds_what_is_off(spark, run_folder):
+    """Counts that differ either way, and frames that hold points but are listed as empty."""
+    db = sqlite3.connect(f"{run_folder}/analysis.tdf")
+    with db:
+        db.execute("UPDATE Frames SET NumPeaks = 7 WHERE Id = 1")
+        db.execute("UPDATE Frames SET NumPeaks = 11 WHERE Id = 5")
+    db.close()
+    assert sorted(map(tuple, tdf.validate(spark, run_folder).collect())) == [(1, 7, 9), (5, 11, 9)]
+
+
+def test_points_are_not_shuffled_for_the_frame_table(spark, run_folder):
+    """The frame table is broadcast by its known size: one exchange of points, before the kernel."""
+    kept = denoise(tdf.read_points(spark, run_folder), tdf.read_frames(spark, run_folder), Plan(stages=Stages(halo=model.Halo())))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 0 and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_cross_check(spark, run_folder):
     assert tdf.cross_check(spark, run_folder).count() == 0
     db = sqlite3.connect(f"{run_folder}/analysis.tdf")
