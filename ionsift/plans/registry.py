@@ -208,6 +208,13 @@ def codec_roundtrip(spark, d):
     return tdf.decode(tdf.encode(fx.without_empty(fx.cells(spark, d)), fx.frames(spark, d, drop_empty=True))).select(*COLS)
 
 
+@query(o.query(o.PTS, o.frames(), o.MS2, o.streak("a", "ms2", 3, 2, 5), o.halo("h", "a", 0.15, 2, 8), select=f"SELECT {o.COLS} FROM h"))
+def msms_whole_frame(spark, d):
+    """Without windows, MS/MS frames are filtered as wholes, as spectra of their own."""
+    plan = Plan(Streak(iterations=1), Stages(all_frames=True, halo=Halo(0.15, 8, 2)))
+    return denoise(fx.cells(spark, d), fx.frames(spark, d), plan, num_scans=fx.NUM_SCANS).where("frame_id % 4 != 0")
+
+
 _DIA_PLAN = Plan(Streak(iterations=1), Stages(halo=Halo(0.15, 8, 2), denoise_msms=Streak(iterations=1), dia_window=0, dia_per_window=True, dia_ms1=Pads()), fx.CROP)
 _PW = o.per_window("w", 3, 2, 5)
 
