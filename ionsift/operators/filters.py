@@ -94,9 +94,11 @@ def combine(points: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return points.groupBy(*by, "scan", "tof").agg(F.least(F.sum("intensity"), F.lit(MOST)).alias("intensity"))
 
 
-def combine_and_filter(points: DataFrame, p: Streak, h: Halo | None, by: tuple[str, ...]) -> DataFrame:
+def combine_and_filter(points: DataFrame, p: Streak, h: Halo | None, by: tuple[str, ...], form: str = "arrow") -> DataFrame:
     """Keys ``by, scan, tof`` of the combined spectrum that survive the streak filter and, if given, the halo."""
-    return clean(combine(points, by), p, h, by).select(*by, "scan", "tof")
+    if form == "arrow":
+        return kernels.summed(points, by, p, h)
+    return clean(combine(points, by), p, h, by, form).select(*by, "scan", "tof")
 
 
 def neighbourhood_filter(points: DataFrame, frames: DataFrame, r: int, p: Streak, h: Halo | None = None) -> DataFrame:

@@ -14,14 +14,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from ionsift.model import Halo, Smooth, Streak
+from ionsift.model import MOST, Halo, Smooth, Streak
 
 #: Points that a kernel is given at once, unless one group has more.
 ROWS = 200_000
 
 
 def by_groups(points: DataFrame, by: tuple[str, ...], kernel: Callable[[pa.Table, np.ndarray], pa.Table], schema: StructType | str | None = None) -> DataFrame:
-    """Applies ``kernel(points, group numbers)`` to whole groups of ``by``; nulls of ``by`` are a group too."""
+    """Applies ``kernel(points, group numbers)`` to whole groups of ``by``; nulls of ``by`` are a group too.
+
+    Points are dealt out by the first column of ``by``, which a join before may have done already.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -49,7 +52,7 @@ def by_groups(points: DataFrame, by: tuple[str, ...], kernel: Callable[[pa.Table
         if held:
             yield from flush(True)
 
-    return points.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema or points.schema)
+    return points.repartition(by[0]).sortWithinPartitions(*by).mapInArrow(run, schema or points.schema)
 
 
 def columns(table: pa.Table, *names: str) -> list[np.ndarray]:
@@ -164,23 +167,45 @@ def smoothed(group: np.ndarray, scan: np.ndarray, tof: np.ndarray, intensity: np
     return out
 
 
+def survivors(group: np.ndarray, scan: np.ndarray, tof: np.ndarray, intensity: np.ndarray, p: Streak | None, h: Halo | None) -> np.ndarray:
+    """Row numbers of the points that the streak filter, ``iterations`` times, and then the halo leave."""
+    alive = np.arange(len(scan))
+    steps = [lambda *x: streak_mask(*x, p)] * (p.iterations if p else 0) + ([lambda *x: halo_mask(*x, h)] if h else [])
+    for step in steps:
+        alive = alive[step(group[alive], scan[alive], tof[alive], intensity[alive])]
+    return alive
+
+
 def clean(points: DataFrame, by: tuple[str, ...], p: Streak | None = None, h: Halo | None = None) -> DataFrame:
-    """Streak filter on its own survivors, ``iterations`` times, then the halo; all within one shuffle."""
-    passes = p.iterations if p else 0
-    if not passes and (h is None or h.mz_idx_half_width < 1):
+    """Streak filter on its own survivors, then the halo; all within one shuffle."""
+    if not (p and p.iterations) and (h is None or h.mz_idx_half_width < 1):
         return points
 
     def kernel(table: pa.Table, group: np.ndarray) -> pa.Table:
-        scan, tof, intensity = columns(table, "scan", "tof", "intensity")
-        alive = np.arange(len(scan))
-        steps = [lambda *x: streak_mask(*x, p)] * passes + ([lambda *x: halo_mask(*x, h)] if h else [])
-        for step in steps:
-            alive = alive[step(group[alive], scan[alive], tof[alive], intensity[alive])]
-        return table.take(pa.array(alive))
+        return table.take(pa.array(survivors(group, *columns(table, "scan", "tof", "intensity"), p, h)))
 
     return by_groups(points, by, kernel)
 
 
+def summed(points: DataFrame, by: tuple[str, ...], p: Streak, h: Halo | None = None) -> DataFrame:
+    """``by, scan, tof`` of the cells that survive in each group's summed spectrum (sums clipped to 32 bits), within one shuffle."""
+    rows = points.select(*by, "scan", "tof", "intensity")
+
+    def kernel(table: pa.Table, group: np.ndarray) -> pa.Table:
+        scan, tof, intensity = columns(table, "scan", "tof", "intensity")
+        order = np.lexsort((tof, scan, group))
+        new = np.ones(len(order), bool)
+        new[1:] = False
+        for c in (group, scan, tof):
+            new[1:] |= np.diff(c[order]) != 0
+        first = order[new]
+        total = np.minimum(np.add.reduceat(intensity[order], np.flatnonzero(new)), MOST)
+        kept = first[survivors(group[first], scan[first], tof[first], total, p, h)]
+        return table.select([*by, "scan", "tof"]).take(pa.array(kept))
+
+    return by_groups(rows, by, kernel, rows.select(*by, "scan", "tof").schema)
+
+
 def smooth(points: DataFrame, p: Smooth, by: tuple[str, ...]) -> DataFrame:
     """Intensities become the rounded means over their boxes, ``iterations`` times."""
 

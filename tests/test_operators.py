@@ -237,6 +237,9 @@ def test_forms_agree(spark):
         assert rows_of(filters.halo(points, h)) == rows_of(filters.halo(points, h, form="sql"))
     for s in (Smooth(), Smooth(0, 0, 2), Smooth(1, 4, 3)):
         assert rows_of(rewrite.smooth(points, s)) == rows_of(rewrite.smooth(points, s, form="sql"))
+    for h in (None, Halo(0.3, 3, 1)):
+        keys = lambda form: sorted(map(tuple, filters.combine_and_filter(points, Streak(2, 3, 1, 0, 0, 2), h, ("frame_id",), form).collect()))  # noqa: B023, E731
+        assert keys("arrow") == keys("sql") != []
     small = spark.newSession()
     small.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     narrow = small.createDataFrame(points.toPandas(), model.POINTS)
