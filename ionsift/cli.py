@@ -84,7 +84,7 @@ def _run(spark: SparkSession, a: argparse.Namespace, control: Control) -> dict:
         warnings.warn(f"the run has {segments[0]} m/z and {segments[1]} mobility calibrations; gates use one for all frames and may be slightly off on others", stacklevel=2)
     sample = None if a.sample is None else (a.sample, a.sample_seed)
     points, control.total = tdf.read_points(spark, a.input), frames.count()
-    kept = denoise(points, frames, plan, tdf.geometry(spark, a.input, calibration), sample=sample)
+    kept = denoise(points, frames, plan, tdf.geometry(spark, a.input, calibration), sample=sample, levels=tdf.read_levels(spark, a.input))
     if a.dry_run:
         numbers = summary(points, kept, frames, plan, sample).first().asDict()
         control.frames.add(control.total)

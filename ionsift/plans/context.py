@@ -129,8 +129,7 @@ class RunContext:
         if self.plan.crop_only:
             return built
         if self._summed():
-            level = self.frames_.where("ms_ms_type != 0").select("frame_id")
-            cells = filters.precursor_keys(self.points.join(level, "frame_id", "left_semi"), geo.pasef_windows, s.denoise_msms, s.halo)
+            cells = filters.precursor_keys(tdf.read_levels(self.spark, self.path)[1], geo.pasef_windows, s.denoise_msms, s.halo)
             n = sum(m.num_peaks for m in self.meta if m.ms_ms_type != 0)
             built.cells = self._held(cells, max(1, -(-n // self.BUCKET)))
         if s.dia_ms1 and geo.calibration and geo.dia_boxes is not None and self.num_scans:
@@ -178,12 +177,13 @@ class RunContext:
             ids = {r.precursor for r in self.windows[0].get(own.frame_id, []) if r.precursor}
             built = replace(built, cells=built.cells.where(F.col("precursor").isin(sorted(ids))))
         frames = self.frames_.where(F.col("frame_id").isin(some))
-        kept = denoise(tdf.read_points(self.spark, self.path, some), frames, self.plan, geo, self.num_scans, built=built)
+        points, none = tdf.read_points(self.spark, self.path, some), self.points.where("false")
+        kept = denoise(points, frames, self.plan, geo, self.num_scans, built=built, levels=(points, none) if own.ms_ms_type == 0 else (none, points))
         return kept.where(F.col("frame_id") == own.frame_id)
 
     def frames(self) -> Iterator[tuple[int, pd.DataFrame]]:
         """(index, points) of every frame in order, empty ones too, from one query; the driver holds a stretch of frames at a time."""
-        kept = denoise(self.points, self.frames_, self.plan, self.geometry, self.num_scans, built=self.built)
+        kept = denoise(self.points, self.frames_, self.plan, self.geometry, self.num_scans, built=self.built, levels=tdf.read_levels(self.spark, self.path))
         listed = kept.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("scan", "tof", "intensity"))).alias("points")).orderBy("frame_id")
         rows = listed.toLocalIterator()
         row = next(rows, None)

@@ -69,12 +69,14 @@ def emitted_frames(frames: DataFrame, plan: Plan, sample: tuple[float, int] | No
     return out.join(taken, "frame_id", "left").withColumn("processed", F.coalesce("processed", F.lit(False)))
 
 
-def denoise(points: DataFrame, frames: DataFrame, plan: Plan = Plan(), geo: Geometry | None = None, num_scans: int | None = None, sample: tuple[float, int] | None = None, built: Built | None = None) -> DataFrame:
+def denoise(points: DataFrame, frames: DataFrame, plan: Plan = Plan(), geo: Geometry | None = None, num_scans: int | None = None, sample: tuple[float, int] | None = None, built: Built | None = None, levels: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """``frame_id, scan, tof, intensity`` of what the run keeps.
 
     Gates and crops come after the noise filters, since they must not change whose neighbour a point is. The
     retention-time crop and the sample hold back frames from the output only: they still feed sums across frames.
     Without those sums they are applied first, where a scan can take them. ``built`` holds shared tables made before.
+    ``levels`` are the points of MS1 and of MS/MS frames, if a source can read them apart: then no record is decoded for
+    both and no join with the frames is needed.
     """
     geo, s, built = geo or Geometry(), plan.stages, built or Built()
     if num_scans is None:
@@ -83,11 +85,12 @@ def denoise(points: DataFrame, frames: DataFrame, plan: Plan = Plan(), geo: Geom
     shown = flags.where("processed and not cropped").select("frame_id", (F.col("ms_ms_type") == 0).alias("__ms1"))
     held_back = plan.crop.has_rt() or sample is not None
     crosses = s.frame_half_width > 0 or (geo.pasef_windows is not None and s.denoise_msms is not None)
+    if levels is None:
+        tagged = points.join(frames.select("frame_id", (F.col("ms_ms_type") == 0).alias("__ms1")), "frame_id")
+        levels = tagged.where("__ms1").drop("__ms1"), tagged.where("not __ms1").drop("__ms1")
     if held_back and not crosses:
-        points = points.join(shown.select("frame_id"), "frame_id", "left_semi")
-    level = frames.select("frame_id", (F.col("ms_ms_type") == 0).alias("__ms1"))
-    tagged = points.join(level, "frame_id")
-    ms1, ms2 = tagged.where("__ms1").drop("__ms1"), tagged.where("not __ms1").drop("__ms1")
+        levels = tuple(x.join(shown.select("frame_id"), "frame_id", "left_semi") for x in levels)
+    ms1, ms2 = levels
     own = False
     if not plan.crop_only:
         ms1 = _ms1(ms1, frames, geo, plan, num_scans, built)

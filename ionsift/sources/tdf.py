@@ -363,6 +363,11 @@ def read_points(spark: SparkSession, path: str, frames: Iterable[int] | None = N
     return reader.load(path)
 
 
+def read_levels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The points of MS1 frames and those of MS/MS frames, each from its own records only."""
+    return tuple(read_points(spark, path, [r[0] for r in _rows(path, f"SELECT Id FROM Frames WHERE MsMsType {sign} 0")]) for sign in ("=", "<>"))
+
+
 def header_length(path: str) -> int:
     return max(0, _rows(path, "SELECT coalesce(min(TimsId), 0) FROM Frames")[0][0])
 

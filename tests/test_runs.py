@@ -284,6 +284,9 @@ def test_points_are_not_shuffled_for_the_frame_table(spark, run_folder):
     kept = denoise(tdf.read_points(spark, run_folder), tdf.read_frames(spark, run_folder), Plan(stages=Stages(halo=model.Halo())))
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") == 0 and plan.count("Exchange hashpartitioning") == 1
+    apart = denoise(tdf.read_points(spark, run_folder), tdf.read_frames(spark, run_folder), Plan(stages=Stages(halo=model.Halo())), levels=tdf.read_levels(spark, run_folder))
+    plan = apart._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1 and points_of(apart) == points_of(kept)
 
 
 def test_cross_check(spark, run_folder):
