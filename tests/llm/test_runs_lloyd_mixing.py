@@ -183,7 +183,9 @@ def test_mixing_weights(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, wish double")
     got = {r.doc_id: r for r in mixing.mix(docs, mixing.Mix((1, 1)), "wish").collect()}
     mean = [np.mean([got[i].copies for i in range(k, 396, 4)]) for k in range(4)]
-    assert mean[0] == 0 and mean[3] == 3 and abs(mean[2] / mean[1] - 2) < 0.15
+    # 297 copies of the capped ones; 103 more are shared by weights 1 and 2, 99 documents each
+    share = (400 - 297) / (99 + 2 * 99)
+    assert mean[0] == 0 and mean[3] == 3 and abs(mean[1] - share) < 0.1 and abs(mean[2] - 2 * share) < 0.1
     assert abs(sum(got[i].taken for i in range(400)) - got[0].target) <= 10
     assert all(r.copies == 0 for i, r in got.items() if i >= 396)
 
