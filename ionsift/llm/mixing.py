@@ -154,7 +154,9 @@ def mix(docs: DataFrame, how: Mix = Mix(), weight: str | None = None) -> DataFra
     rows = rows.withColumn("expected", F.when(F.col("size") > 0, expected).otherwise(F.lit(0.0)))
     rows = rows.withColumn("sure", F.floor("expected")).withColumn("p", F.col("expected") - F.col("sure")).withColumn("size_class", F.length(F.bin("size")))
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    rows = rows.withColumn("odds", F.when(F.col("p") > 0, odds)).withColumn("bucket", F.least(F.floor(F.col("odds") / (1 + F.col("odds")) * how.buckets), F.lit(how.buckets - 1)))
+    rows = rows.withColumn("odds", F.when(F.col("p") > 0, odds))
+    bucket = F.least(F.floor(F.col("odds") / (1 + F.col("odds")) * how.buckets), F.lit(how.buckets - 1))
+    rows = rows.withColumn("bucket", F.when(F.col("odds").isNotNull(), bucket))
     buckets = rows.where("bucket is not null").groupBy("source_id", "size_class", "bucket").agg(F.sum("size").alias("words"), F.sum(F.floor(F.col("p") * F.col("size") * UNIT)).alias("expected"))
     cuts = materialize(buckets.groupBy("source_id").applyInPandas(_cut(how), "source_id long, size_class int, cut long"), "cuts")
     rows = _beside(rows, cuts, ["source_id", "size_class"], "left")

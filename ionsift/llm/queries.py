@@ -215,7 +215,7 @@ WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce
  t AS (SELECT sid, source, source_size, least(CAST(CAST(k.rest AS BIGINT) * w AS DOUBLE) / CAST(k.open AS DOUBLE), CAST(3 * source_size AS DOUBLE)) AS target FROM w, k),
  e AS (SELECT d.*, sid, source_size, target, length(bin(size)) AS cls, CASE WHEN size > 0 THEN target / source_size ELSE 0.0 END AS x FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
  p AS (SELECT *, x - floor(x) AS p, CASE WHEN x > floor(x) THEN (u / (1 - u)) / ((x - floor(x)) / (1 - (x - floor(x)))) END AS odds FROM e),
- r AS (SELECT *, least(floor(odds / (1 + odds) * 4096), 4095) AS b FROM p),
+ r AS (SELECT *, CASE WHEN odds IS NOT NULL THEN least(floor(odds / (1 + odds) * 4096), 4095) END AS b FROM p),
  b AS (SELECT sid, cls, b, sum(size) AS words, sum(CAST(floor(p * size * 1048576) AS BIGINT)) AS e FROM r WHERE b IS NOT NULL GROUP BY sid, cls, b),
  c AS MATERIALIZED (SELECT *, sum(words) OVER (PARTITION BY sid, cls ORDER BY b) AS cum, sum(e) OVER (PARTITION BY sid, cls) / 1048576 AS quota, dense_rank() OVER (PARTITION BY sid ORDER BY cls DESC) AS i FROM b),
  walk AS (SELECT DISTINCT sid, CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS share, CAST(0 AS DOUBLE) AS carry FROM c

@@ -187,6 +187,7 @@ def test_mixing_weights(spark):
     share = (400 - 297) / (99 + 2 * 99)
     assert mean[0] == 0 and mean[3] == 3 and abs(mean[1] - share) < 0.1 and abs(mean[2] - 2 * share) < 0.1
     assert abs(sum(got[i].taken for i in range(400)) - got[0].target) <= 10
+    assert max(r.copies for r in got.values()) == 3
     assert all(r.copies == 0 for i, r in got.items() if i >= 396)
 
 
