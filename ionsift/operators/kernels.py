@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ionsift.model import MOST, Halo, Smooth, Streak
@@ -23,7 +24,9 @@ ROWS = 200_000
 def by_groups(points: DataFrame, by: tuple[str, ...], kernel: Callable[[pa.Table, np.ndarray], pa.Table], schema: StructType | str | None = None) -> DataFrame:
     """Applies ``kernel(points, group numbers)`` to whole groups of ``by``; nulls of ``by`` are a group too.
 
-    Points are dealt out by the first column of ``by``, which a join before may have done already.
+    Points are dealt out by the first column of ``by``, as a struct: mapInArrow asks for no distribution, so where a join
+    before deals by the plain column, Spark leaves out an equal repartition, and may then broadcast the join's other side
+    at run time and read the points as they were, which tears groups apart.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +55,7 @@ def by_groups(points: DataFrame, by: tuple[str, ...], kernel: Callable[[pa.Table
         if held:
             yield from flush(True)
 
-    return points.repartition(by[0]).sortWithinPartitions(*by).mapInArrow(run, schema or points.schema)
+    return points.repartition(F.struct(by[0])).sortWithinPartitions(*by).mapInArrow(run, schema or points.schema)
 
 
 def columns(table: pa.Table, *names: str) -> list[np.ndarray]:

@@ -249,6 +249,20 @@ def test_forms_agree(spark):
     assert filters.halo(nulls, Halo(0.3, 3, 1)).where("frame_id is null").count() > 0
 
 
+def test_groups_stay_whole_behind_a_join(spark):
+    """Kernels get their points from an exchange of their own: a join's may be read undealt once Spark broadcasts the other side at run time."""
+    wide = spark.newSession()
+    wide.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    points = wide.createDataFrame(many_frames(spark).collect(), model.POINTS)
+    iv = wide.createDataFrame([(f, b, b + 12) for f in range(0, 7, 2) for b in (0, 12)], "frame_id long, scan_begin int, scan_end int")
+    p, h = Streak(2, 3, 1, 0, 0, 1), Halo(0.3, 3, 1)
+    got = filters.per_window_filter(points, iv, p, h)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("REPARTITION_BY_COL") == 1
+    placed = points.withColumn("w", F.expr("CASE WHEN frame_id % 2 = 1 THEN -1 WHEN scan < 24 THEN scan div 12 END")).where("w is not null")
+    assert rows_of(got) == rows_of(filters.clean(placed, p, h, ("frame_id", "w"), form="sql")) != []
+
+
 def test_streak_shuffles_each_point_once(spark):
     """No explode in the plan: all passes and the halo take one exchange of the points."""
     plan = filters.clean(many_frames(spark), Streak(), Halo())._jdf.queryExecution().executedPlan().toString()
