@@ -263,6 +263,23 @@ def test_groups_stay_whole_behind_a_join(spark):
     assert rows_of(got) == rows_of(filters.clean(placed, p, h, ("frame_id", "w"), form="sql")) != []
 
 
+def test_msms_windows_in_a_run_stay_whole(spark):
+    """The same through ``denoise``, whose points come from a join with the frames too."""
+    from ionsift.model import Geometry, Plan, Stages
+    from ionsift.plans.pipeline import denoise
+
+    wide = spark.newSession()
+    wide.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    points = wide.createDataFrame(many_frames(spark).collect(), model.POINTS)
+    frames = wide.createDataFrame([(f, 64, 1, 9, 1.0) for f in range(7)], "frame_id long, num_scans int, num_peaks long, ms_ms_type int, rt_seconds double")
+    iv = wide.createDataFrame([(f, b, b + 12) for f in range(0, 7, 2) for b in (0, 12)], "frame_id long, scan_begin int, scan_end int")
+    p, h = Streak(2, 3, 1, 0, 0, 1), Halo(0.3, 3, 1)
+    got = denoise(points, frames, Plan(p, Stages(halo=h, denoise_msms=p, dia_per_window=True)), Geometry(dia_windows=iv), 64)
+    assert got._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_COL") == 2  # MS1 and MS/MS
+    want = filters.per_window_filter(points, iv, p, h).select(got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
 def test_streak_shuffles_each_point_once(spark):
     """No explode in the plan: all passes and the halo take one exchange of the points."""
     plan = filters.clean(many_frames(spark), Streak(), Halo())._jdf.queryExecution().executedPlan().toString()
