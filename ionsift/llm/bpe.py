@@ -24,8 +24,9 @@ SHIFT = 1 << 20
 NO_RANK = np.int32(2**31 - 1)
 #: A vocabulary file is broadcast; this bounds it.
 MOST_BYTES = 64 << 20
-#: Texts are encoded in groups of about so many characters.
-GROUP = 1 << 24
+#: Texts are encoded in groups of about so many characters; a group's words and arrays are what a worker holds, and keeps
+#: in part until it ends.
+GROUP = 1 << 22
 
 
 def byte_alphabet() -> list[str]:

@@ -44,3 +44,18 @@ def test_bad_file(tmp_path):
     with pytest.raises(ValueError):
         bpe.Bpe(p.read_text())
     assert np.int32(bpe.NO_RANK) > 0
+
+
+def test_a_worker_holds_a_bounded_group():
+    """One batch of long texts is encoded a few million characters at a time, with the same rows as text by text."""
+    import pyarrow as pa
+
+    class Sent:
+        value = open(P.path("word_bpe_49k.json")).read()
+
+    texts = [w * 150_000 for w in ("the of ", "and it's ", "tion ", "ab !", "12 ", "don't ", "é ", "er in ")]
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    made = list(bpe._rows(Sent, False)(iter([batch])))
+    assert len(made) > 1 and all(sum(map(len, (texts[i] for i in m.column(0).to_pylist()))) <= 1 << 22 for m in made)
+    apart = [m for i in range(len(texts)) for m in bpe._rows(Sent, False)(iter([batch.slice(i, 1)]))]
+    assert pa.Table.from_batches(made).to_pylist() == pa.Table.from_batches(apart).to_pylist()
