@@ -2,7 +2,8 @@
 
 So all points that no undecided brighter point can reach are decided at once, round by round, with the result of going
 through the frame's points from the brightest down. Rounds work on arrays of all points of many frames; Spark deals the
-frames out, and the sums over groups and colliding cells are ordinary aggregates.
+frames out once, and since groups and cells never cross frames, their sums are taken where the frame is: nothing is
+shuffled or hashed by group. Points that differ in their id only are interchangeable, so ids aren't needed.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
 
 from ionsift.model import MOST, BoxCentroid, Watershed
 from ionsift.operators.kernels import Extremes, Rows, by_groups, columns, ranges
@@ -22,13 +22,20 @@ MAX_GROUPS = 100_000
 LISTED = 20_000
 
 
-def places(frame: np.ndarray, scan: np.ndarray, tof: np.ndarray, intensity: np.ndarray, point_id: np.ndarray) -> np.ndarray:
-    """Each point's place, brightest first within its frame; ties: smaller scan, TOF, id."""
+def places(frame: np.ndarray, scan: np.ndarray, tof: np.ndarray, intensity: np.ndarray, point_id: np.ndarray | None = None) -> np.ndarray:
+    """Each point's place, brightest first within its frame; ties: smaller scan, TOF, id (if given, else as they stand)."""
     out = np.empty(len(frame), np.int64)
-    out[np.lexsort((point_id, tof, scan, -intensity, frame))] = np.arange(len(frame))
+    out[np.lexsort((*([] if point_id is None else [point_id]), tof, scan, -intensity, frame))] = np.arange(len(frame))
     return out
 
 
+def sorted_starts(*keys: np.ndarray) -> np.ndarray:
+    """Where stretches of equal keys begin."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.flatnonzero(new)
+
+
 def box_groups(frame: np.ndarray, scan: np.ndarray, tof: np.ndarray, place: np.ndarray, p: BoxCentroid) -> np.ndarray:
     """The place of the seed whose box takes each point.
 
@@ -113,31 +120,42 @@ def watershed_groups(frame: np.ndarray, scan: np.ndarray, tof: np.ndarray, inten
     return out
 
 
-def _grouped(points: DataFrame, grouping) -> DataFrame:
-    """``frame_id, group_id, scan, tof, intensity`` of the points that have a group."""
+def means(x: np.ndarray, weight: np.ndarray, total: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Rounded means of ``x`` over stretches that begin at ``first``, by ``weight`` with sums ``total``; 0 where those are 0."""
+    low = np.minimum.reduceat(x, first)
+    above = x - np.repeat(low, np.diff(first, append=len(x)))
+    if (2 * int(above.max()) + 1) * int(weight.max()) * len(x) >= 1 << 62:
+        weight, total = weight.astype(object), total.astype(object)  # whole numbers of any size
+    upto = (2 * np.add.reduceat(above * weight, first) + total) // (2 * np.maximum(total, 1))
+    return np.where(total == 0, 0, low + upto).astype(np.int64)
 
-    def kernel(table: pa.Table, frame: np.ndarray) -> pa.Table:
-        scan, tof, intensity, point_id = columns(table, "scan", "tof", "intensity", "point_id")
-        group = grouping(frame, scan, tof, intensity, places(frame, scan, tof, intensity, point_id))
-        made = pa.table([table["frame_id"], pa.array(group), *map(pa.array, (scan, tof, intensity))], names=["frame_id", "group_id", "scan", "tof", "intensity"])
-        return made.filter(pa.array(group >= 0))
 
-    needed = points.select(F.col("frame_id").cast("long").alias("frame_id"), F.coalesce("point_id", F.lit(0)).cast("long").alias("point_id"), "scan", "tof", "intensity")
-    schema = StructType()
-    for name in ("frame_id", "group_id", "scan", "tof", "intensity"):
-        schema = schema.add(name, LongType())
-    return by_groups(needed, ("frame_id",), kernel, schema)
+def _centroids(points: DataFrame, grouping, least: int) -> DataFrame:
+    """``frame_id, scan, tof, intensity``: means of groups of ``least`` intensity; those on one cell of a frame are summed, clipped to 32 bits."""
 
-
-def _centroids(grouped: DataFrame, least: int, drop_zero: bool) -> DataFrame:
-    big = "decimal(38,0)"
-    sums = grouped.groupBy("frame_id", "group_id").agg(
-        F.sum("intensity").alias("total"), F.sum(F.col("scan").cast(big) * F.col("intensity")).cast(big).alias("ws"), F.sum(F.col("tof").cast(big) * F.col("intensity")).cast(big).alias("wt")
-    )
-    sums = sums.where(F.col("total") >= max(least, 1 if drop_zero else 0))
-    half = lambda w: F.when(F.col("total") == 0, F.lit(0)).otherwise(F.expr(f"(2 * {w} + total) div (2 * total)")).cast("long")
-    cells = sums.select("frame_id", half("ws").cast("int").alias("scan"), half("wt").alias("tof"), "total")
-    return cells.groupBy("frame_id", "scan", "tof").agg(F.least(F.sum("total"), F.lit(MOST)).alias("intensity"))
+    def kernel(table: pa.Table, frame: np.ndarray) -> pa.Table:
+        scan, tof, intensity = columns(table, "scan", "tof", "intensity")
+        group = grouping(frame, scan, tof, intensity, places(frame, scan, tof, intensity))
+        order = np.argsort(group, kind="stable")
+        order = order[np.searchsorted(group[order], 0) :]  # without those that have no group
+        first = sorted_starts(group[order])
+        at, s, t, total = order[first], scan[:0], tof[:0], intensity[:0]
+        if len(first):
+            weight = intensity[order]
+            if int(weight.max()) * len(weight) >= 1 << 62:
+                weight = weight.astype(object)
+            total = np.add.reduceat(weight, first)
+            s, t = (means(x[order], weight, total, first) for x in (scan, tof))
+            enough = total >= least
+            at, s, t, total = at[enough], s[enough], t[enough], total[enough]
+        cell = np.lexsort((t, s, frame[at]))
+        at, s, t, total = at[cell], s[cell], t[cell], total[cell]
+        first = sorted_starts(frame[at], s, t)
+        total = np.minimum(np.add.reduceat(total, first), MOST) if len(first) else total
+        return pa.table([table["frame_id"].take(pa.array(at[first])), pa.array(s[first].astype(np.int32)), pa.array(t[first]), pa.array(total)], names=["frame_id", "scan", "tof", "intensity"])
+
+    needed = points.select(F.col("frame_id").cast("long").alias("frame_id"), "scan", "tof", "intensity")
+    return by_groups(needed, ("frame_id",), kernel, "frame_id long, scan int, tof long, intensity long")
 
 
 def watershed(points: DataFrame, p: Watershed = Watershed(), max_groups: int = MAX_GROUPS) -> DataFrame:
@@ -145,9 +163,9 @@ def watershed(points: DataFrame, p: Watershed = Watershed(), max_groups: int = M
 
     A frame with ``max_groups`` groups is finished: its remaining, fainter points are dropped.
     """
-    return _centroids(_grouped(points, lambda *x: watershed_groups(*x, p, max_groups)), p.min_centroid_total, False)
+    return _centroids(points, lambda *x: watershed_groups(*x, p, max_groups), max(p.min_centroid_total, 0))
 
 
 def box_centroid(points: DataFrame, p: BoxCentroid = BoxCentroid()) -> DataFrame:
     """``frame_id, scan, tof, intensity``: intensity-weighted means of small boxes around the brightest free points."""
-    return _centroids(_grouped(points, lambda frame, scan, tof, intensity, place: box_groups(frame, scan, tof, place, p)), p.min_total, True)
+    return _centroids(points, lambda frame, scan, tof, intensity, place: box_groups(frame, scan, tof, place, p), max(p.min_total, 1))

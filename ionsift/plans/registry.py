@@ -239,12 +239,12 @@ def pipeline_dda(spark, d):
 
 @query(o.query(o.PTS, select="SELECT frame_id, scan, tof, CAST(sum(intensity) AS BIGINT) AS intensity FROM pts GROUP BY 1, 2, 3 HAVING max(intensity) >= 50000 AND sum(intensity) >= 80000"))
 def watershed_cells(spark, d):
-    return centroid.watershed(fx.points(spark, d), Watershed(0, 0, 50_000, 80_000, 0))
+    return centroid.watershed(fx.cells(spark, d), Watershed(0, 0, 50_000, 80_000, 0))
 
 
 @query(o.query(o.PTS, select="SELECT frame_id, scan, tof, CAST(sum(intensity) AS BIGINT) AS intensity FROM pts GROUP BY 1, 2, 3 HAVING sum(intensity) >= 80000"))
 def box_cells(spark, d):
-    return centroid.box_centroid(fx.points(spark, d), BoxCentroid(0, 0, 80_000))
+    return centroid.box_centroid(fx.cells(spark, d), BoxCentroid(0, 0, 80_000))
 
 
 _CONSERVED = o.query(o.PTS, select="SELECT frame_id, CAST(sum(intensity) AS BIGINT) AS intensity FROM pts GROUP BY 1")
@@ -252,22 +252,22 @@ _CONSERVED = o.query(o.PTS, select="SELECT frame_id, CAST(sum(intensity) AS BIGI
 
 @query(_CONSERVED)
 def watershed_conserved(spark, d):
-    return centroid.watershed(fx.points(spark, d)).groupBy("frame_id").agg(F.sum("intensity").alias("intensity"))
+    return centroid.watershed(fx.cells(spark, d)).groupBy("frame_id").agg(F.sum("intensity").alias("intensity"))
 
 
 @query(_CONSERVED)
 def box_conserved(spark, d):
-    return centroid.box_centroid(fx.points(spark, d)).groupBy("frame_id").agg(F.sum("intensity").alias("intensity"))
+    return centroid.box_centroid(fx.cells(spark, d)).groupBy("frame_id").agg(F.sum("intensity").alias("intensity"))
 
 
 @query(o.watershed(10, 3, 10))
 def watershed(spark, d):
-    return centroid.watershed(fx.points(spark, d))
+    return centroid.watershed(fx.cells(spark, d))
 
 
 @query(o.box_centroid(2, 2))
 def box_centroid(spark, d):
-    return centroid.box_centroid(fx.points(spark, d))
+    return centroid.box_centroid(fx.cells(spark, d))
 
 
 def _mul(x: str, k: int) -> str:

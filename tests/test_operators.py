@@ -296,6 +296,25 @@ def test_centroids_of_many_frames(spark):
         assert sorted((r.scan, r.tof, r.intensity) for r in got_b if r.frame_id == f) == brute_box(each(f), b)
 
 
+def test_centroids_take_one_exchange_and_no_ids(spark):
+    """Groups and cells are summed where their frame is, so no task holds a table of groups; equal points need no ids."""
+    points = many_frames(spark, 3).where("intensity < 100")
+    bare = points.drop("point_id")
+    for make in (centroid.watershed, lambda x: centroid.box_centroid(x, BoxCentroid(1, 1, 0))):
+        plan = make(bare)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Aggregate" not in plan
+        assert cells(make(bare)) == cells(make(points)) != []
+
+
+def test_centroid_sums_are_exact(spark):
+    """Weighted sums beyond 64 bits: the mean is rounded from whole numbers."""
+    far, big = 2**40 + 1, 2**32 - 1
+    points = [(3, far, big), (4, far + 2**30, big - 1)]
+    total = 2 * big - 1
+    mean = lambda a, b: (2 * (a * big + b * (big - 1)) + total) // (2 * total)
+    assert cells(centroid.box_centroid(frame(spark, points), BoxCentroid(2**30, 2, 0))) == [(mean(3, 4), mean(far, far + 2**30), big)]
+
+
 def test_numbered(spark):
     """Positions run through stretches without gaps; no task numbers the whole table."""
     from ionsift.functions.scalars import numbered
