@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ionsift.llm.common import tidy
+
 END = "</w>"
 SHIFT = 1 << 20
 NO_RANK = np.int32(2**31 - 1)
@@ -213,4 +215,4 @@ def encode(docs: DataFrame, path: str, full: bool = True) -> DataFrame:
     if len(source) > MOST_BYTES:
         raise ValueError(f"a vocabulary of over {MOST_BYTES} bytes is not broadcast")
     sent = docs.sparkSession.sparkContext.broadcast(source)
-    return docs.select("doc_id", "text").mapInArrow(_rows(sent, full), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(_rows(sent, full)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ NOT_SPACE = r"[^\x20\x09-\x0D]+"
 
 #: Whether Spark deletes a query's shuffle files when the query ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows and bytes of text that a task hands a Python worker at once, where asked for: JVM and worker each hold such batches.
+SMALL = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,20 +48,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts lineage with files that outlive an executor, and Spark drops the write's shuffle files as soon as it
-    has ended. The table goes when the application ends.
+    has ended. The table goes when the application ends. ``small``: Python workers get whole texts in small batches.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ionsift-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    during = {CLEANUP: "true"} | (SMALL if small else {})
+    before = {k: spark.conf.get(k, "false") if k == CLEANUP else spark.conf.get(k) for k in during}
+    for k, v in during.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     jpath, fs = _file(spark, path)
     fs.deleteOnExit(jpath)
     out = spark.read.schema(df.schema).parquet(path)
@@ -64,6 +72,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def tidy(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``rows`` for mapInArrow, whose worker gives its free memory back at a task's end: Spark keeps workers through stages that need none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from rows(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return run
+
+
 def _file(spark: SparkSession, path: str):
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return jpath, jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

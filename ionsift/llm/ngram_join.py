@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ionsift.llm import seeds
-from ionsift.llm.common import components, forget, materialize
+from ionsift.llm.common import components, forget, materialize, tidy
 
 SHINGLE, PERCENT = 4, 85
 #: Documents in a tree's leaf, of a group's block, and of each group that all its blocks hold.
@@ -261,7 +261,7 @@ def _connected(sets: DataFrame, groups: DataFrame, percent: int) -> list[DataFra
     """``u, v``: links that connect all that is linked in each group, in one or two tables: step 4."""
     spark = sets.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    find = lambda rows: rows.select("doc", "comp", "side", "shingles", "g", "i", "j").repartition(n, "g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_link_rows(percent), "u long, v long")
+    find = lambda rows: rows.select("doc", "comp", "side", "shingles", "g", "i", "j").repartition(n, "g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(tidy(_link_rows(percent)), "u long, v long")
     centres = F.array(*[F.min_by("doc", F.xxhash64("doc", F.lit(2 + t))) for t in range(CENTRES)])
     count = groups.groupBy("g").agg(F.count(F.lit(1)).alias("m"), centres.alias("centres"))
     placed = groups.join(count, "g").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
@@ -303,7 +303,7 @@ def link(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, text: str =
     empty table gives no rows. Shingles are compared by 64-bit hashes.
     """
     docs = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
-    summary = materialize(docs.mapInArrow(_summary_rows(k, percent), "doc long, n int, s1 long, s2 long, low array<long>, needed int"), "summary")
+    summary = materialize(docs.mapInArrow(tidy(_summary_rows(k, percent)), "doc long, n int, s1 long, s2 long, low array<long>, needed int"), "summary", small=True)
     known = summary.where("doc is not null and n > 0")
     classes = materialize(known.groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep")), "classes")
 
@@ -311,7 +311,7 @@ def link(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, text: str =
     tokens = firsts.select("doc", "needed", F.explode("low").alias("token"))
     several = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
     open_ = materialize(tokens.join(several, "token").groupBy("doc", "needed").agg(F.count(F.lit(1)).alias("c")).where("c >= needed").select(F.col("doc").alias("doc_id")), "open")
-    sets = materialize(docs.join(open_, "doc_id", "left_semi").mapInArrow(_set_rows(k), "doc long, shingles array<long>").dropDuplicates(["doc"]), "sets")
+    sets = materialize(docs.join(open_, "doc_id", "left_semi").mapInArrow(tidy(_set_rows(k)), "doc long, shingles array<long>").dropDuplicates(["doc"]), "sets", small=True)
     groups = _near_groups(sets, percent)
     links = _connected(sets, groups, percent)
     comp = components(reduce(DataFrame.unionAll, links))

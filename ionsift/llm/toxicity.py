@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ionsift.llm.common import tidy
+
 WINDOW, STRIDE, MARGIN = 32, 16, 12
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
@@ -227,4 +229,4 @@ def with_score(docs: DataFrame, labels: DataFrame, name: str, how: Fit = Fit(),
         toxic, ordinary, rarer = sample(docs, labels, how)
         model = fit(toxic, ordinary, how, rarer)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_score_rows(sent, name), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(tidy(_score_rows(sent, name)), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

@@ -83,3 +83,34 @@ def test_stage_edges(spark, tmp_path):
         assert sorted(((r.doc_id, r.text) for r in got), key=key) == sorted(left[name], key=key), name
         assert {(r.score, r.predicted, r.held_out, r.pii_spans, r.pii_base, r.more, r.comp, r.doc, r.edits, r["__more"]) for r in got} == {(7.5, 3, None, "mine", "too", 1, 2, 3, 4, 5)}
         assert all(r.n_chars == (len(r.text) if r.text is not None else None) if name == "pii" else r.n_chars is None for r in got)
+
+
+def test_tasks_leave_workers_tidy(spark):
+    """A worker's rows pass unchanged, its settings for batches go back, and what a task has freed is not kept."""
+    import numpy as np
+    import pyarrow as pa
+
+    from ionsift.llm.common import SMALL, materialize, tidy
+
+    def kept():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 / 1e6
+
+    def rows(batches):
+        for batch in batches:
+            yield batch
+
+    def wasteful(batches):
+        held = [np.ones(12_500) for _ in range(3_000)]  # 300 MB in pieces below what malloc maps apart
+        last = held[-1]
+        del held
+        yield from batches
+        del last
+
+    # in this process, as in a worker: Spark's workers run many tasks
+    before = kept()
+    assert sum(b.num_rows for b in tidy(wasteful)(iter([pa.record_batch([pa.array([1, 2])], names=["a"])]))) == 2
+    assert kept() - before < 100
+    was = {k: spark.conf.get(k) for k in SMALL}
+    sizes = materialize(spark.range(5_000, numPartitions=1).mapInArrow(tidy(lambda batches: (pa.record_batch([pa.array([b.num_rows])], names=["n"]) for b in batches)), "n long"), "batches", small=True)
+    assert [r.n for r in sizes.collect()] == [1000] * 5 and {k: spark.conf.get(k) for k in SMALL} == was
